@@ -19,10 +19,10 @@ from itertools import chain
 
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, session_of, sha, small_batches
+from .common import id_and_text, kept, session_of, sha, small_batches
 
 #: Pieces that are kept with their ids, and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 500_000, 48
+CACHE_PIECES, CACHE_CHARS = 300_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -161,16 +161,10 @@ class Encoder:
         return sha(" ".join(map(self.text_of.__getitem__, ids)))
 
 
-_made: dict[str, Encoder] = {}
-
-
 def _worker(vocabulary) -> Encoder:
     """The encoder of this Python worker, made from the broadcast vocabulary."""
     key, *tables = vocabulary.value
-    if key not in _made:
-        _made.clear()
-        _made[key] = Encoder(*tables)
-    return _made[key]
+    return kept(("bpe", key), lambda: Encoder(*tables))
 
 
 def broadcast_vocabulary(spark, path: str, pattern: str):

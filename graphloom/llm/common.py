@@ -8,6 +8,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import shared_dir, staged  # noqa: F401
+
 #: Rows in an Arrow batch. Texts may be long; a batch is what a Python worker holds at once.
 BATCH_ROWS = 256
 
@@ -21,27 +23,21 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
+_kept: dict = {}
+
 
-    Unset: a folder under /tmp in local mode, an error on a cluster, where a
-    machine's own folder would lose files with the machine.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        at = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return at.rstrip("/")
+def kept(key: tuple, make):
+    """What a Python worker keeps between batches and tasks: one thing at a time, so that workers
+    that serve several operators don't pile up vocabularies and caches."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here, and lost
-    executors cost no recomputation of what is above."""
-    spark = session_of(df)
-    path = f"{shared_dir(spark)}/graphloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def token() -> str:
+    """A name for something broadcast, other than any before."""
+    return uuid.uuid4().hex
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_of, sha, small_batches
+from .common import kept, session_of, sha, small_batches
 
 WINDOW = 10
 #: Letters to lower case, other ASCII but digits to spaces; bytes of other characters stay.
@@ -82,18 +82,9 @@ class Patterns:
                 found |= items
 
 
-_made: dict[tuple, Patterns] = {}
-
-
 def _patterns(block, window: int, keep: bool) -> Patterns:
     key, rows = block.value
-    if keep and (key, window) in _made:
-        return _made[key, window]
-    own = Patterns(rows, window)
-    if keep:
-        _made.clear()
-        _made[key, window] = own
-    return own
+    return kept(("patterns", key, window), lambda: Patterns(rows, window)) if keep else Patterns(rows, window)
 
 
 def pattern_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = 16 << 20) -> list:

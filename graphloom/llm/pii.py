@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, session_of, small_batches
+from .common import id_and_text, kept, session_of, small_batches, token
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 CRF_KINDS = ("phone", "ssn", "iban")
@@ -366,15 +366,9 @@ class Tagger:
 
 _SHAPE_LINES = bytes(10 if b == 10 else _SHAPE[b] for b in range(256))
 
-_made: dict[int, Tagger] = {}
-
-
 def _worker(shared) -> Tagger:
-    key = id(shared.value)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Tagger(shared.value)
-    return _made[key]
+    key, crf = shared.value
+    return kept(("crf", key), lambda: Tagger(crf))
 
 
 def all_spans(texts: list[str | None], tagger: Tagger) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
@@ -401,7 +395,7 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 def scan(docs: DataFrame, crf: CRF | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and added: array<struct<kind, start, end>>."""
     small_batches(session_of(docs))
-    shared = session_of(docs).sparkContext.broadcast(crf or train())
+    shared = session_of(docs).sparkContext.broadcast((token(), crf or train()))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -421,7 +415,7 @@ def scan(docs: DataFrame, crf: CRF | None = None, id_col: str = "doc_id", text_c
 def masked(docs: DataFrame, crf: CRF | None = None) -> DataFrame:
     """The documents, all columns, with personal data in `text` replaced by its kind; n_chars follows where it is there."""
     small_batches(session_of(docs))
-    shared = session_of(docs).sparkContext.broadcast(crf or train())
+    shared = session_of(docs).sparkContext.broadcast((token(), crf or train()))
     names = docs.columns
 
     def run(batches: Iterator) -> Iterator:
