@@ -272,11 +272,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The documents with one row of each component: that with the smallest doc_id (any one of rows that repeat it)."""
     found = near_duplicates(docs, words=words, radius=radius)
-    first = staged(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).select(F.col("doc_id").alias("_keep"), F.col("n").alias("_n")), "kept")
+    own = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = staged(own.groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_keep"), "kept")
     cols = [F.col(f"d.`{c}`") for c in docs.columns]
-    got = docs.alias("d").join(first.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k._keep")))
+    # texts are dealt out once and not sorted: the side of the ids is hashed
+    got = docs.alias("d").join(first.alias("k").hint("shuffle_hash"), F.col("d.doc_id").eqNullSafe(F.col("k._keep")))
     once = got.filter("k._n = 1").select(*cols)
+    if first.filter("_n > 1").isEmpty():
+        return once
     # rows that repeat an id: one of them stays
-    first_of = [F.first(F.struct(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])).alias("row")]
-    again = got.filter("k._n > 1").groupBy(F.col("k._keep")).agg(*first_of).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    row = F.first(F.struct(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])).alias("row")
+    again = got.filter("k._n > 1").groupBy(F.col("k._keep")).agg(row).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     return once.unionByName(again)
