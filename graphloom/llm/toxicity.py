@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, id_and_text, session_of, small_batches
+from .common import fold_of, id_and_text, kept, session_of, small_batches, token
 
 DIMS = 1 << 20
 FOLDS = 5
@@ -50,7 +50,7 @@ def _words():
 class Hasher:
     """Words to places; what a word hashes to is kept."""
 
-    KEEP = 400_000
+    KEEP = 200_000
 
     def __init__(self, dims: int):
         import xxhash
@@ -88,7 +88,7 @@ class Model:
         return dict(zip(self.places.tolist(), self.weights.tolist(), strict=True))
 
 
-def train(positive: list[list[int]], unlabelled: list[list[int]], prior: float, settings: Settings = Settings()) -> Model:
+def train(positive: list, unlabelled: list, prior: float, settings: Settings = Settings()) -> Model:
     """Full-batch Adam on the non-negative risk; logistic loss."""
     import numpy as np
 
@@ -96,17 +96,17 @@ def train(positive: list[list[int]], unlabelled: list[list[int]], prior: float,
     if not positive or not unlabelled or not 0 < prior < 1:
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(settings.dims, empty.astype(np.int64), empty, float(np.log(p / (1 - p))))
-    count = [np.bincount(np.concatenate([np.asarray(x, np.int64) for x in s]), minlength=settings.dims) for s in (positive, unlabelled)]
+    count = [np.bincount(np.concatenate([np.asarray(x, np.int32) for x in s]), minlength=settings.dims) for s in (positive, unlabelled)]
     n_p, n_u = len(positive), len(unlabelled)
     pool = (count[0] + count[1]) / (n_p + n_u)
     error = np.sqrt(np.maximum(pool * (1 - pool), 1e-12) * (1 / n_p + 1 / n_u))
     z = np.abs(count[0] / n_p - count[1] / n_u) / error
     use = np.flatnonzero((count[0] + count[1] > 1) & (z >= settings.least_z))
-    slot = np.full(settings.dims, -1, np.int64)
-    slot[use] = np.arange(len(use))
+    slot = np.full(settings.dims, -1, np.int32)
+    slot[use] = np.arange(len(use), dtype=np.int32)
 
     def sparse(rows):
-        cols = [slot[np.asarray(r, np.int64)] for r in rows]
+        cols = [slot[np.asarray(r, np.int32)] for r in rows]
         cols = [c[c >= 0] for c in cols]
         sizes = np.array([len(c) for c in cols])
         return np.concatenate(cols) if cols else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), sizes), len(rows)
@@ -135,7 +135,7 @@ def train(positive: list[list[int]], unlabelled: list[list[int]], prior: float,
     return Model(settings.dims, use[keep], w[keep], float(b))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[list[list[int]], list[list[int]], float]:
+def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[list, list, float]:
     """Hashed features of the sampled positive and unlabelled texts, and the class prior; only training folds."""
     small_batches(session_of(docs))
     known = labels.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("toxic"), F.lit(0)).alias("toxic")).filter("doc_id is not null")
@@ -162,11 +162,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.of(t)[:most] for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "places"])
 
-    rows = wanted.mapInArrow(run, f"doc_id {wanted.schema[0].dataType.simpleString()}, places array<int>").collect()
+    # as arrays of 4-byte numbers: lists of Python's would take ten times the driver's memory
+    rows = wanted.mapInArrow(run, f"doc_id {wanted.schema[0].dataType.simpleString()}, places array<int>").toArrow()
+    places = [x.values.to_numpy() for x in rows.column("places")]
     parts: tuple[list, list] = ([], [])
-    for r in sorted(rows, key=lambda r: r[0]):
-        for kind in kinds[r[0]]:
-            parts[1 - kind].append(r[1])
+    for doc, own in sorted(zip(rows.column("doc_id").to_pylist(), places, strict=True), key=lambda r: r[0]):
+        for kind in kinds[doc]:
+            parts[1 - kind].append(own)
     return parts[0], parts[1], prior
 
 
@@ -175,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
 
 class Scorer:
-    def __init__(self, model: tuple[int, dict[int, float], float]):
+    def __init__(self, model: list):
         dims, self.weights, self.bias = model
         self.hasher = Hasher(dims)
 
@@ -187,20 +189,14 @@ class Scorer:
         return 1 / (1 + exp(-max(-30.0, min(30.0, z))))
 
 
-_made: dict[int, Scorer] = {}
-
-
-def _worker(model) -> Scorer:
-    key = id(model.value)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Scorer(model.value)
-    return _made[key]
+def _worker(shared) -> Scorer:
+    key, *model = shared.value
+    return kept(("toxicity", key), lambda: Scorer(model))
 
 
 def broadcast_model(spark, model: Model):
     """At most one weight for each of `dims` places, whatever the corpus."""
-    return spark.sparkContext.broadcast((model.dims, model.table(), model.bias))
+    return spark.sparkContext.broadcast((token(), model.dims, model.table(), model.bias))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
