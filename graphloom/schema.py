@@ -35,19 +35,27 @@ EXTENSIONS = {
 }
 IMPACT_RELATIONS = ("CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS", "USES")
 
-NODES = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def _struct(text: str) -> T.StructType:
+    """A schema from "name type, ...", without a session (workers import this, too)."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in text.split(", "))])
+
+
+NODES = _struct(
     "id string, label string, name string, file_path string, container_name string, qualified_name string, symbol_key string, start_line int, end_line int, language string, "
     "is_exported boolean, parameter_count int, return_type string, visibility string, is_static boolean, is_async boolean, body_hash bigint, annotations array<string>, "
     "heuristic_label string, cohesion double, symbol_count int, process_type string, step_count int, communities array<string>, entry_point_id string, terminal_id string"
 )
-EDGES = T.StructType.fromDDL("id string, source_id string, target_id string, rel_type string, confidence double, reason string, step int")
-FILES = T.StructType.fromDDL("relative_path string, language string, size bigint, content binary, hash bigint")
-IMPORTS = T.StructType.fromDDL("source_file string, imported_name string, module_path string, alias string, is_default boolean, is_namespace boolean, line int")
-CALLS = T.StructType.fromDDL("caller_id string, callee_name string, receiver string, file_path string, line int, arguments_count int")
-HERITAGE = T.StructType.fromDDL("child_id string, parent_name string, kind string, file_path string")
-ASSIGNMENTS = T.StructType.fromDDL("variable_name string, assigned_from_kind string, assigned_from string, scope string, file_path string, resolved_type string")
-SYMBOLS = T.StructType.fromDDL("node_id string, name string, label string, file_path string, language string, is_exported boolean, return_type string, start_line int, end_line int")
-FILE_HASHES = T.StructType.fromDDL("file_path string, hash bigint")
+EDGES = _struct("id string, source_id string, target_id string, rel_type string, confidence double, reason string, step int")
+FILES = _struct("relative_path string, language string, size bigint, content binary, hash bigint")
+IMPORTS = _struct("source_file string, imported_name string, module_path string, alias string, is_default boolean, is_namespace boolean, line int")
+CALLS = _struct("caller_id string, callee_name string, receiver string, file_path string, line int, arguments_count int")
+HERITAGE = _struct("child_id string, parent_name string, kind string, file_path string")
+ASSIGNMENTS = _struct("variable_name string, assigned_from_kind string, assigned_from string, scope string, file_path string, resolved_type string")
+SYMBOLS = _struct("node_id string, name string, label string, file_path string, language string, is_exported boolean, return_type string, start_line int, end_line int")
+FILE_HASHES = _struct("file_path string, hash bigint")
 
 
 def is_symbol(label: Column) -> Column:
