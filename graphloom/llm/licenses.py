@@ -60,7 +60,7 @@ def words(text: str) -> list[str]:
 
 
 def blocks(text: str, most_lines: int) -> list[list[tuple[int, int]]]:
-    """For each line with a cue: that line, and the run of lines from it to a blank line or the next cue's line."""
+    """For each line with a cue: that line, and the run of lines from it to a blank line."""
     if not _CUE.search(text):
         return []
     lines = [m.span() for m in _LINE.finditer(text)]
@@ -71,7 +71,7 @@ def blocks(text: str, most_lines: int) -> list[list[tuple[int, int]]]:
             k += 1
             continue
         end = k + 1
-        while end < len(lines) and end - k < most_lines and lines[end][0] == lines[end - 1][1] + 1 and not _CUE.search(text, *lines[end]):
+        while end < len(lines) and end - k < most_lines and lines[end][0] == lines[end - 1][1] + 1:
             end += 1
         out.append([(a, b)] + [(a, lines[end - 1][1])] * (end - k > 1))
         k += 1
@@ -122,6 +122,15 @@ class Matcher:
         start = spans[0][0]
         return {"licence": self.names[-k], "start": start, "end": start - size, "saving": saving, "missing": missing, "more": -more}
 
+    def notices(self, text: str | None) -> list[dict]:
+        """The notices of a text, one after the other: what lies in one begins no other."""
+        out, free = [], 0
+        for spans in blocks(text, self.settings.most_lines) if text else []:
+            if spans[0][0] >= free and (got := self.best(text, spans)):
+                out.append(got)
+                free = got["end"]
+        return out
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, settings: Settings = SETTINGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, notices array<struct<licence, start, end, saving, missing, more>> by start. Templates are a parameter, so of bounded size."""
@@ -134,7 +143,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, settings: Set
         kind = pa.list_(pa.struct([("licence", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("saving", pa.int32()), ("missing", pa.int32()), ("more", pa.int32())]))
         own = Matcher(known, settings)
         for b in batches:
-            out = [[x for spans in (blocks(t, settings.most_lines) if t else []) if (x := own.best(t, spans))] for t in b.column(1).to_pylist()]
+            out = [own.notices(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["doc_id", "notices"])
 
     src = id_and_text(docs, id_col, text_col)
