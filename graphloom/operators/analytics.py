@@ -63,14 +63,14 @@ def louvain(graph: Graph, resolution: float = 1.0, sweeps: int = 20) -> tuple[Da
     communities, so the result is the same for any partitioning.
     """
     near = staged(adjacency(clustering_edges(graph)), "adjacency")
+    if near.isEmpty():
+        return near.select(F.col("at").alias("id"), F.lit(0).cast("long").alias("community")), near
     degree = near.groupBy(F.col("at").alias("id")).agg(F.sum("weight").alias("k"))
     # numbers by a sort over partitions, without a window over all rows
     ids = staged(degree.orderBy("id").select("id", "k", F.monotonically_increasing_id().alias("community")), "louvain")
     degree = ids.select("id", "k")
     m2 = float(near.agg(F.sum("weight")).first()[0] or 0)
     community, still = ids.select("id", "community"), 0
-    if not m2:
-        return community, near
     for sweep in range(sweeps):
         moved = staged(louvain_sweep(near, degree, community, m2, resolution, bool(sweep % 2)), "louvain")
         changed = moved.join(community.select("id", F.col("community").alias("before")), "id").filter("community <> before").count()
@@ -122,6 +122,10 @@ def cohesion(members: DataFrame, near: DataFrame, first: int = 50) -> DataFrame:
 def communities(graph: Graph, resolution: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Community nodes, MEMBER_OF edges, and (id, community_id)."""
     community, near = louvain(graph, resolution)
+    if near.isEmpty():
+        spark = near.sparkSession
+        none = spark.createDataFrame([], "id string, community_id string")
+        return spark.createDataFrame([], NODES), make_edges(none, F.col("id"), F.col("community_id"), "MEMBER_OF", 1.0, "community membership"), none
     ranks = ranked_communities(community)
     members = staged(community.join(ranks, "community").select("id", F.col("position").alias("community"), "size"), "members")
     label = community_labels(members, graph.nodes)
@@ -212,6 +216,10 @@ def by_endpoints(traces: DataFrame) -> DataFrame:
 def processes(graph: Graph, membership: DataFrame, max_processes: int = 200, max_depth: int = 15, branching: int = 4, min_steps: int = 3) -> tuple[DataFrame, DataFrame, dict]:
     """Process nodes, STEP_IN_PROCESS edges, and counts. membership: id, community_id."""
     entries = staged(entry_points(graph), "entries")
+    if entries.isEmpty():
+        spark = entries.sparkSession
+        none = spark.createDataFrame([], "id string, path array<string>")
+        return spark.createDataFrame([], NODES), step_edges(none), {"total_processes": 0, "cross_community": 0, "avg_step_count": 0.0, "entry_points_found": 0}
     # each entry has a trace at most `min_steps` long or longer: enough entries for twice the processes, in batches
     traces = staged(trace(entries, call_arcs(graph.edges), max_depth, branching), "traces")
     kept = by_endpoints(drop_subsets(staged(long_enough(traces, entries, max_processes, min_steps), "long-traces")))

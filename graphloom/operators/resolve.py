@@ -44,32 +44,31 @@ def cleaned(module: Column) -> Column:
     return F.regexp_replace(F.trim(module), "^[\"']+|[\"']+$", "")
 
 
-def _first_hit(candidates: DataFrame, known: DataFrame) -> DataFrame:
-    """from_file, module_path, target: the candidate of least rank that is a key of `known` (key, target)."""
-    hits = candidates.join(known, F.col("candidate") == F.col("key"))
-    return hits.groupBy("from_file", "module_path").agg(F.min_by("target", "rank").alias("target"))
-
-
-def _candidates(wanted: DataFrame, bases: Column) -> DataFrame:
-    """Each base with each variant, ranked base by base."""
-    variants = F.array(*map(F.lit, VARIANTS))
-    base = wanted.select("from_file", "module_path", F.posexplode(bases).alias("b", "base"))
-    return base.select("from_file", "module_path", F.col("b"), "base", F.posexplode(variants).alias("v", "variant")).select(
-        "from_file", "module_path", F.concat("base", "variant").alias("candidate"), (F.col("b") * len(VARIANTS) + F.col("v")).alias("rank")
-    )
+def stems(known: DataFrame) -> DataFrame:
+    """base, variant, target: what each key is when an ending that imports leave out is taken off; variant is the ending's rank.
+
+    A key has a few of the endings at most, so the files' side grows a little, where trying all endings would
+    grow the imports' side eighteenfold. known: key, target.
+    """
+    endings = F.array(*[F.struct(F.lit(k).alias("variant"), F.lit(x).alias("ending")) for k, x in enumerate(VARIANTS)])
+    own = known.withColumn("e", F.explode(F.filter(endings, lambda e: F.endswith(F.col("key"), e["ending"]))))
+    return own.select(F.expr("left(key, length(key) - length(e.ending))").alias("base"), F.col("e.variant").alias("variant"), "target").filter("base <> ''")
 
 
 def resolve_relative(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """wanted: from_file, module_path, spec (./ or ../). The file itself, with an extension, or an index file below it."""
-    return _first_hit(_candidates(wanted, F.array(normalized(X.dirname(F.col("from_file")), F.col("spec")))), files.select(F.col("path").alias("key"), F.col("path").alias("target")))
+    asked = wanted.select("from_file", "module_path", normalized(X.dirname(F.col("from_file")), F.col("spec")).alias("base"))
+    hits = asked.join(stems(files.select(F.col("path").alias("key"), F.col("path").alias("target"))), "base")
+    return hits.groupBy("from_file", "module_path").agg(F.min_by("target", "variant").alias("target"))
 
 
 def resolve_bare(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """wanted: from_file, module_path, spec. The longest tail of the path that is the suffix of one file only."""
     like = F.when(F.col("spec").contains("/"), F.col("spec")).otherwise(F.replace(F.col("spec"), F.lit("."), F.lit("/")))
     path = F.array_join(F.filter(F.split(like, "/"), lambda p: p != ""), "/")
-    known = suffix_index(files).filter("n = 1").select(F.col("suffix").alias("key"), F.col("file").alias("target"))
-    return _first_hit(_candidates(wanted.withColumn("path", path).filter("path <> ''"), X.suffixes(F.col("path"))), known)
+    known = stems(suffix_index(files).filter("n = 1").select(F.col("suffix").alias("key"), F.col("file").alias("target")))
+    tails = wanted.withColumn("path", path).filter("path <> ''").select("from_file", "module_path", F.posexplode(X.suffixes(F.col("path"))).alias("tail", "base"))
+    return tails.join(known, "base").groupBy("from_file", "module_path").agg(F.min_by("target", F.struct("tail", "variant")).alias("target"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -110,21 +109,23 @@ def symbol_table(nodes: DataFrame) -> DataFrame:
 def binding_targets(bindings: DataFrame, symbols: DataFrame, hops: int = CHAIN) -> DataFrame:
     """file_path, local_name, def_file, def_name, hop: where the chain of each binding first finds a definition.
 
-    Up to `hops` files more than the first; a chain that turns in a circle runs out.
+    Up to `hops` files more than the first. A binding has one next, so chains are followed by doubling: each
+    round joins what is still open with the table itself, and a few rounds reach any length; a circle stays open.
     """
-    defined = symbols.select(F.col("file_path").alias("def_file"), F.col("name").alias("def_name")).distinct()
-    nxt = bindings.select(F.col("file_path").alias("at_file"), F.col("local_name").alias("at_name"), F.col("source_path").alias("to_file"), F.col("exported_name").alias("to_name"))
-    now = bindings.select("file_path", "local_name", F.col("source_path").alias("def_file"), F.col("exported_name").alias("def_name"))
-    out = []
-    for hop in range(hops + 1):
-        now = staged(now, "chain") if hop else now
-        found = now.join(defined, ["def_file", "def_name"], "left_semi")
-        out.append(found.select("file_path", "local_name", "def_file", "def_name", F.lit(hop).alias("hop")))
-        open_ = now.join(defined, ["def_file", "def_name"], "left_anti")
-        now = open_.join(nxt, (F.col("def_file") == F.col("at_file")) & (F.col("def_name") == F.col("at_name"))).select("file_path", "local_name", F.col("to_file").alias("def_file"), F.col("to_name").alias("def_name"))
-        if hop and hop < hops and now.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, out)
+    defined = symbols.select(F.col("file_path").alias("def_file"), F.col("name").alias("def_name")).distinct().withColumn("defined", F.lit(True))
+    more = bindings.select(F.col("file_path").alias("def_file"), F.col("local_name").alias("def_name"), F.lit(True).alias("bound"))
+    first = bindings.select("file_path", "local_name", F.col("source_path").alias("def_file"), F.col("exported_name").alias("def_name"))
+    state = first.join(defined, ["def_file", "def_name"], "left").join(more, ["def_file", "def_name"], "left").filter("defined or bound")
+    found = F.coalesce("defined", F.lit(False))
+    now = staged(state.select("file_path", "local_name", "def_file", "def_name", found.alias("found"), F.when(found, 0).otherwise(1).alias("hop")), "chain")
+    reach = 1
+    while reach <= hops and not now.filter("not found").isEmpty():
+        then = now.select(F.col("file_path").alias("at_file"), F.col("local_name").alias("at_name"), F.col("def_file").alias("to_file"), F.col("def_name").alias("to_name"), F.col("found").alias("then_found"), F.col("hop").alias("then_hop"))
+        on = now.filter("not found").join(then, (F.col("def_file") == F.col("at_file")) & (F.col("def_name") == F.col("at_name")))
+        longer = on.select("file_path", "local_name", F.col("to_file").alias("def_file"), F.col("to_name").alias("def_name"), F.col("then_found").alias("found"), (F.col("hop") + F.col("then_hop")).alias("hop"))
+        now = staged(now.filter("found").unionByName(longer).filter(F.col("hop") <= hops + 1), "chain")
+        reach *= 2
+    return now.filter(F.col("found") & (F.col("hop") <= hops)).select("file_path", "local_name", "def_file", "def_name", "hop")
 
 
 def resolve_names(wanted: DataFrame, symbols: DataFrame, bindings: DataFrame, imported: DataFrame, aliases: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,26 +35,33 @@ class Analysis:
 
 
 def link(nodes: DataFrame, files: DataFrame, facts: dict[str, DataFrame], link_all_folders: bool = False) -> Graph:
-    """The graph of all facts, without communities and flows. files: relative_path, language."""
-    symbols = staged(resolve.symbol_table(nodes), "symbols")
-    imports = facts["imports"].select(F.col("relative_path").alias("from_file"), "module_path", "imported_name", "alias", "is_namespace", "ordinal")
-    resolved = staged(resolve.resolve_imports(imports, files.select(F.col("relative_path").alias("path"))), "imports")
-    bindings = staged(resolve.named_bindings(imports, resolved), "bindings")
-    imported = staged(resolve.import_map(resolved), "import-map")
-    calls = facts["calls"].select(F.concat_ws("#", "relative_path", F.lpad(F.col("ordinal").cast("string"), 9, "0")).alias("call_id"), "caller_id", "callee_name", "receiver", F.col("relative_path").alias("from_file"))
-    heritage = facts["heritage"].select("child_id", "parent_name", "kind", F.col("relative_path").alias("file_path"))
+    """The graph of all facts, without communities and flows. files: relative_path, language.
+
+    A kind of fact of which there is none costs no join.
+    """
+    spark = nodes.sparkSession
+    some = {k: not facts[k].isEmpty() for k in ("imports", "calls", "heritage")}
     made = graph.structure(files, link_all_folders)
-    edges = made.edges
-    for more in (
-        graph.file_contains(nodes),
-        resolve.import_edges(resolved),
-        resolve.call_edges(resolve.resolve_calls(calls, symbols, bindings, imported, heritage)),
-        resolve.heritage_edges(resolve.resolve_heritage(heritage, symbols, bindings, imported)),
-    ):
-        edges = edges.unionByName(more)
-    # two specifiers may lead to one file: an id has one edge
-    edges = graph.upsert(edges.limit(0), conform(edges, EDGES))
-    return Graph(staged(made.nodes.unionByName(conform(nodes, NODES)), "nodes"), staged(edges, "edges"))
+    parts = [made.edges, graph.file_contains(nodes)]
+    bindings = spark.createDataFrame([], "file_path string, local_name string, source_path string, exported_name string")
+    imported = spark.createDataFrame([], "from_file string, target_file string")
+    heritage = facts["heritage"].select("child_id", "parent_name", "kind", F.col("relative_path").alias("file_path"))
+    symbols = resolve.symbol_table(nodes)
+    if some["imports"]:
+        imports = facts["imports"].select(F.col("relative_path").alias("from_file"), "module_path", "imported_name", "alias", "is_namespace", "ordinal")
+        resolved = staged(resolve.resolve_imports(imports, files.select(F.col("relative_path").alias("path"))), "imports")
+        bindings, imported = staged(resolve.named_bindings(imports, resolved), "bindings"), resolve.import_map(resolved)
+        parts.append(resolve.import_edges(resolved))
+    if some["calls"]:
+        calls = facts["calls"].select(F.concat_ws("#", "relative_path", F.lpad(F.col("ordinal").cast("string"), 9, "0")).alias("call_id"), "caller_id", "callee_name", "receiver", F.col("relative_path").alias("from_file"))
+        parts.append(resolve.call_edges(resolve.resolve_calls(calls, symbols, bindings, imported, heritage)))
+    if some["heritage"]:
+        parts.append(resolve.heritage_edges(resolve.resolve_heritage(heritage, symbols, bindings, imported)))
+    edges = reduce(DataFrame.unionByName, parts)
+    if some["imports"]:
+        # two specifiers may lead to one file: an id has one edge
+        edges = graph.upsert(edges.limit(0), conform(edges, EDGES))
+    return Graph(staged(made.nodes.unionByName(conform(nodes, NODES)), "nodes"), staged(conform(edges, EDGES), "edges"))
 
 
 def enrich(linked: Graph, config: Config = Config()) -> tuple[Graph, dict]:

@@ -10,6 +10,7 @@ from ..operators.graph import Graph
 from ..schema import NODES, conform, edge_id, is_callable, is_symbol, is_type_def, language_of_extension, location_key, make_edges, with_diff_metadata
 from ..sources import scan
 from ..sources.changes import changeset
+from ..staging import staged
 from .bench_views import Views
 from .registry import query
 
@@ -21,8 +22,9 @@ def g(v: Views) -> Graph:
     return Graph(v.nodes, v.edges)
 
 
-def long(*names: str):
-    return [F.col(n).cast("long").alias(n) for n in names]
+def stored(v: Views) -> Graph:
+    """The graph with its edges as a written table, as rounds of joins have it."""
+    return Graph(v.nodes, staged(v.edges, "edges"))
 
 
 # --- lookups ---------------------------------------------------------------------------------
@@ -87,22 +89,22 @@ def start(v: Views, node_id: str) -> DataFrame:
 
 @query(_REACH.format(arcs=_OUT, start="customer::7", depth=3))
 def g7_bfs_out(v: Views) -> DataFrame:
-    return traverse.bfs(v.edges, start(v, "customer::7"), "out", 3).drop("path")
+    return traverse.bfs(stored(v).edges, start(v, "customer::7"), "out", 3).drop("path")
 
 
 @query(_REACH.format(arcs=_IN, start="part::5", depth=3))
 def g7_bfs_in(v: Views) -> DataFrame:
-    return traverse.bfs(v.edges, start(v, "part::5"), "in", 3).drop("path")
+    return traverse.bfs(stored(v).edges, start(v, "part::5"), "in", 3).drop("path")
 
 
 @query(_REACH.format(arcs=f"{_OUT} UNION {_IN}", start="part::5", depth=2))
 def g7_bfs_both(v: Views) -> DataFrame:
-    return traverse.bfs(v.edges, start(v, "part::5"), "both", 2).drop("path")
+    return traverse.bfs(stored(v).edges, start(v, "part::5"), "both", 2).drop("path")
 
 
 @query(_REACH.format(arcs=_OUT, start="part::5", depth=2))
 def g7_bfs_both_along_edges(v: Views) -> DataFrame:
-    return traverse.bfs(v.edges, start(v, "part::5"), "both", 2, strict_reference=True).drop("path")
+    return traverse.bfs(stored(v).edges, start(v, "part::5"), "both", 2, strict_reference=True).drop("path")
 
 
 @query("""WITH p AS (SELECT 'view_3' AS id, 0 AS depth, ['view_3'] AS path UNION ALL SELECT target_id, depth + 1, list_append(path, target_id) FROM p JOIN event_edges e ON e.source_id = p.id WHERE depth < 4 AND NOT list_contains(path, target_id))
@@ -118,18 +120,18 @@ hits AS (SELECT start_id, id AS node_id, CAST(min(depth) AS INT) AS depth FROM r
 
 @query(_IMPACT.format(ends="target_id AS a, source_id AS b", name="red widget", symbol=SYMBOL, depth=2) + " SELECT start_id, node_id, depth, label, name, file_path, start_line AS line FROM hits LEFT JOIN nodes ON node_id = id")
 def g13_impact_up(v: Views) -> DataFrame:
-    return traverse.impact(g(v), "red widget", "up", 2)
+    return traverse.impact(stored(v), "red widget", "up", 2)
 
 
 @query(_IMPACT.format(ends="source_id AS a, target_id AS b", name="handle_low", symbol=SYMBOL + " AND id LIKE 'order::%'", depth=2) + " SELECT start_id, depth, count(*) AS n FROM hits GROUP BY start_id, depth")
 def g13_impact_down_counts(v: Views) -> DataFrame:
-    return traverse.impact(g(v), "handle_low", "down", 2).groupBy("start_id", "depth").agg(F.count("*").alias("n"))
+    return traverse.impact(stored(v), "handle_low", "down", 2).groupBy("start_id", "depth").agg(F.count("*").alias("n"))
 
 
 @query(_IMPACT.format(ends="target_id AS a, source_id AS b", name="red widget", symbol=SYMBOL, depth=2) + f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY start_id, depth ORDER BY node_id) AS position, count(*) OVER (PARTITION BY start_id, depth) AS total FROM hits)
 SELECT start_id, node_id, depth, CAST(position AS INT) AS position, total FROM ranked JOIN nodes ON node_id = id WHERE position <= 20 AND {SYMBOL}""")
 def g13_impact_shown(v: Views) -> DataFrame:
-    return traverse.impact_shown(traverse.impact(g(v), "red widget", "up", 2)).select("start_id", "node_id", "depth", "position", "total")
+    return traverse.impact_shown(traverse.impact(stored(v), "red widget", "up", 2)).select("start_id", "node_id", "depth", "position", "total")
 
 
 # --- degrees and counts ----------------------------------------------------------------------

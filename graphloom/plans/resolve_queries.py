@@ -295,7 +295,7 @@ def r28_languages(v: Views) -> DataFrame:
 # --- search ----------------------------------------------------------------------------------
 
 _FIELDS = """fl AS (SELECT id AS node_id, field, text FROM (SELECT id, 'name' AS field, name AS text FROM nodes WHERE label NOT IN ('Folder', 'File') UNION ALL SELECT id, 'file_path', file_path FROM nodes WHERE label NOT IN ('Folder', 'File') UNION ALL SELECT id, 'file_name', regexp_extract(file_path, '([^/]*)$', 1) FROM nodes WHERE label NOT IN ('Folder', 'File')) x),
-tk AS (SELECT node_id, field, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM fl), ln AS (SELECT node_id, field, len(t) AS length FROM tk), st AS (SELECT field, count(*) AS n, avg(length) AS average FROM ln GROUP BY field),
+tk AS (SELECT node_id, field, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: strlen(x) < 40) AS t FROM fl), ln AS (SELECT node_id, field, len(t) AS length FROM tk), st AS (SELECT field, count(*) AS n, avg(length) AS average FROM ln GROUP BY field),
 po AS (SELECT node_id, field, token, count(*) AS tf FROM (SELECT node_id, field, unnest(t) AS token FROM tk) x GROUP BY ALL)"""
 _SCORE = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))"
 _BM25 = _FIELDS + ", df AS (SELECT field, token, count(*) AS df FROM po GROUP BY ALL), sc AS (SELECT node_id, sum(" + _SCORE + ") AS score FROM po JOIN df USING (field, token) JOIN ln USING (field, node_id) JOIN st USING (field) WHERE token IN (@tokens) GROUP BY node_id)"
@@ -328,7 +328,7 @@ def g20_query_fallback(v: Views) -> DataFrame:
     return search.query(v.nodes, search.build(v.nodes), "ed wid", 15)
 
 
-@query("""WITH tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents), ln AS (SELECT doc_id, len(t) AS length FROM tk), st AS (SELECT count(*) AS n, avg(length) AS average FROM ln),
+@query("""WITH tk AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: strlen(x) < 40) AS t FROM documents), ln AS (SELECT doc_id, len(t) AS length FROM tk), st AS (SELECT count(*) AS n, avg(length) AS average FROM ln),
 po AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS token FROM tk) x GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM po GROUP BY token),
 sc AS (SELECT doc_id, sum(""" + _SCORE + """) AS score FROM po JOIN df USING (token) JOIN ln USING (doc_id), st WHERE token IN ('license', 'token', 'thea') GROUP BY doc_id)
 SELECT CAST(doc_id AS STRING) AS node_id, round(score, 6) AS score FROM sc ORDER BY 2 DESC, 1 LIMIT 25""")
