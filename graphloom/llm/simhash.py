@@ -237,9 +237,10 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = staged(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("root")).filter("v != root").distinct(), "links")
     state = None
     for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("root").alias("v"), F.col("v").alias("root")))
-        least = both.groupBy("v").agg(F.min("root").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(least, "v").filter("root > v").select(F.col("root").alias("v"), F.col("m").alias("root")).filter("v != root").distinct()
+        # A hub's edges are keyed by the hub; with its smallest neighbour in a written table, a join
+        # of two plain shuffles remains, whose hot partition Spark splits.
+        least = staged(now.groupBy("v").agg(F.min("root").alias("m")), "least").withColumnRenamed("v", "root")
+        large = now.join(least, "root", "left").select("v", F.coalesce("m", "root").alias("root")).distinct()
         floor = large.groupBy("v").agg(F.min("root").alias("m"))
         small = large.join(floor, "v")
         moved = small.select(F.col("root").alias("v"), F.col("m").alias("root")).unionByName(floor.select("v", F.col("m").alias("root")))
@@ -266,7 +267,8 @@ def components(fps: DataFrame, radius: int = RADIUS, shard_rows: int = 50_000) -
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for each input row."""
     fps = staged(fingerprints(docs, id_col, text_col, words), "simhash")
-    return fps.join(components(fps, radius), "fp").select("doc_id", "fp", "component_id")
+    # a written table: a join of two plain shuffles can be split where one fingerprint is hot
+    return fps.join(staged(components(fps, radius), "components"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
