@@ -1,6 +1,7 @@
 """Shards of near equal bytes from a minimax contiguous partition.
 
-Equal texts are an atomic group. Groups stand in the order of a 64-bit hash of their text, and the
+Equal texts are an atomic group. A group that alone is over an equal share of what is left gets a shard of its
+own, so that it doesn't set the capacity of the others. The other groups stand in the order of a 64-bit hash of their text, and the
 smallest capacity is found, by binary search, with which a greedy walk over them needs no more
 than the wanted number of shards. The driver holds the sizes of `buckets` equal ranges of the
 hash only; a walk looks into the few buckets in which a cut lies, and these are fetched as group
@@ -88,6 +89,17 @@ def smallest_capacity(line: Line, largest: int, shards: int) -> int:
     return least(low, high, lambda c: line.cuts(c, shards) is not None)
 
 
+def alone(largest: list[tuple[int, int]], total: int, n: int) -> list[int]:
+    """Hashes of the groups that get a shard each. largest: (hash, size), the largest first."""
+    out = []
+    for h, size in largest:
+        if len(out) == n - 1 or size * (n - len(out)) <= total:
+            break
+        out.append(h)
+        total -= size
+    return out
+
+
 def shards(docs: DataFrame, n: int = SHARDS, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot, group_hash for each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -100,6 +112,10 @@ def shards(docs: DataFrame, n: int = SHARDS, buckets: int = BUCKETS, id_col: str
     bits = buckets.bit_length() - 1
     bucket = F.shiftright("h", 64 - bits)
     groups = staged(rows.groupBy("h").agg(F.sum("size").alias("bytes")).withColumn("b", bucket).repartitionByRange("h").sortWithinPartitions("h"), "groups")
+    own = alone([(r[0], r[1]) for r in groups.orderBy(F.desc("bytes"), "h").limit(n).collect()], groups.agg(F.sum("bytes")).first()[0] or 0, n)
+    rest = n - len(own)
+    if own:
+        groups = groups.filter(~F.col("h").isin(own))
     sums = groups.groupBy("b").agg(F.sum("bytes"), F.max("bytes")).collect()  # at most `buckets` rows
 
     def fetch(wanted: list[int]) -> dict[int, list[tuple[int, int]]]:
@@ -109,12 +125,15 @@ def shards(docs: DataFrame, n: int = SHARDS, buckets: int = BUCKETS, id_col: str
         return {b: sorted(x) for b, x in got.items()}
 
     line = Line({r[0]: r[1] for r in sums}, fetch)
-    capacity = smallest_capacity(line, max((r[2] for r in sums), default=0), n)
+    capacity = smallest_capacity(line, max((r[2] for r in sums), default=0), rest)
     shard = F.lit(0)
-    for cut in (line.cuts(capacity, n) or []) if sums else []:
+    for cut in (line.cuts(capacity, rest) or []) if sums else []:
         after = bucket > line.order[cut[1] - 1] if isinstance(cut, tuple) else F.col("h") > cut
         shard = shard + after.cast("int")
-    sorted_rows = rows.withColumn("shard", shard).repartitionByRange("h", "doc_id").sortWithinPartitions("h", "doc_id").withColumn("at", F.monotonically_increasing_id())
+    for k, h in enumerate(own):
+        shard = F.when(F.col("h") == h, rest + k).otherwise(shard)
+    order = ["shard", "h", "doc_id"]
+    sorted_rows = rows.withColumn("shard", shard).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     laid = staged(sorted_rows, "ordered")
     part = F.shiftright("at", 33).cast("int")
     counts = sorted((r[0], r[1], r[2]) for r in laid.groupBy(part.alias("p"), "shard").count().collect())  # partitions plus shards
