@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..staging import shared_dir, staged  # noqa: F401
 
-#: Rows in an Arrow batch. Texts may be long; a batch is what a Python worker holds at once.
-BATCH_ROWS = 256
+#: Rows and bytes in an Arrow batch. Texts may be long; a batch is what a Python worker holds at once.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -21,6 +21,7 @@ def session_of(df: DataFrame) -> SparkSession:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what one Arrow batch holds. The setting is read when a plan starts to run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 _kept: dict = {}
