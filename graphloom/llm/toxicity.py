@@ -34,7 +34,7 @@ class Settings:
     max_positive: int = 4_000
     max_unlabelled: int = 12_000
     max_features: int = 1_500  # features of a training text that are kept, the smallest hashes first
-    least_z: float = 4.0  # standard errors between a feature's shares of positive and of unlabelled texts
+    least_z: float = 5.0  # standard errors between a feature's shares of positive and of unlabelled texts
     steps: int = 150
     rate: float = 0.1
     shrink: float = 2e-4
