@@ -76,25 +76,30 @@ def analyze(spark: SparkSession, root: str, out: str, config: Config = Config(),
 
     Facts are kept for each file, so the graph after a change is the same as that of a first run.
     """
-    files = staged(scan.scan(spark, root, config), "files")
+    listed = scan.listing(spark, root, config)
+    # hashes first: contents are read again for what has to be parsed, and never copied
+    files = staged(scan.read(listed, root).drop("content"), "files")
     hashes = files.select(F.col("relative_path").alias("file_path"), "hash")
     old = store.exists(spark, out)
-    changes = staged(changeset(hashes, spark.read.parquet(f"{out}/file_hashes") if old else hashes.limit(0)), "changes")
-    count = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
+    if old:
+        changes = staged(changeset(hashes, spark.read.parquet(f"{out}/file_hashes")), "changes")
+        count = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
+    else:
+        count = {"added": files.count()}
     n = {k: count.get(k, 0) for k in ("added", "modified", "deleted", "unchanged")}
     if old and not (n["added"] or n["modified"] or n["deleted"]):
         return Analysis(store.load(spark, out)[0], 0, full=False, process_stats={}, **n)
-    changed = changes.filter("status in ('added', 'modified')").select(F.col("file_path").alias("relative_path"))
-    to_parse = files.join(changed, "relative_path", "left_semi") if old else files
-    tables = facts_of.exploded(staged(facts_of.parse(to_parse), "parsed"))
-    same = changes.filter("status = 'unchanged'").select("file_path")
+    if old:
+        changed = changes.filter("status in ('added', 'modified')").select(F.col("file_path").alias("relative_path"))
+        listed = listed.join(changed, "relative_path", "left_semi")
+    tables = facts_of.exploded(staged(facts_of.parse(scan.read(listed, root)), "parsed"))
     if old and n["unchanged"]:
+        same = changes.filter("status = 'unchanged'").select("file_path")
         before = store.load_facts(spark, out)
         kept_nodes = store.load(spark, out)[0].nodes.filter("language is not null and label <> 'File'").join(same, "file_path", "left_semi")
-        tables["nodes"] = tables["nodes"].unionByName(conform(kept_nodes, NODES))
-        for name in ("imports", "calls", "heritage"):
-            tables[name] = tables[name].unionByName(before[name].join(same.withColumnRenamed("file_path", "relative_path"), "relative_path", "left_semi"))
-    tables = {k: staged(tables[k], k) for k in ("nodes", "imports", "calls", "heritage")}
+        tables["nodes"] = staged(tables["nodes"].unionByName(conform(kept_nodes, NODES)), "nodes")
+        for name in ("imports", "calls", "heritage"):  # written anew, as the store's own tables are replaced
+            tables[name] = staged(tables[name].unionByName(before[name].join(same.withColumnRenamed("file_path", "relative_path"), "relative_path", "left_semi")), name)
     whole, stats = enrich(link(tables["nodes"], files.select("relative_path", "language"), tables, link_all_folders), config)
     store.save(whole, hashes, out, {k: tables[k] for k in ("imports", "calls", "heritage")})
     made = store.load(spark, out)[0]

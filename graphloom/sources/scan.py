@@ -125,17 +125,18 @@ def content_hash(data: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def scan(spark: SparkSession, root: str | Path, config: Config = Config(), languages: tuple[str, ...] | None = PARSED) -> DataFrame:
-    """FILES of a repository, with contents and hashes read by the executors.
-
-    The walk is the driver's: ignore files are read top down. Paths alone are sent out, so `root` is a folder that all machines see.
-    """
+def listing(spark: SparkSession, root: str | Path, config: Config = Config(), languages: tuple[str, ...] | None = PARSED) -> DataFrame:
+    """relative_path, size of the files that a scan takes. The walk is the driver's: ignore files are read top down."""
     found = [(p, s) for p, s in walk(root, config) if (lang := _LANGUAGE.get(_extension(p))) and s <= config.max_file_size and (not languages or lang in languages)]
     rows = spark.createDataFrame(found, "relative_path string, size long")
-    n = max(1, min(len(found), spark.sparkContext.defaultParallelism * 4))
+    return rows.repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism * 4)))
+
+
+def read(rows: DataFrame, root: str | Path) -> DataFrame:
+    """FILES of the listed paths, read by the executors; `root` is a folder that all machines see. What can't be read is left out."""
     top = str(root)
 
-    def read(batches):
+    def run(batches):
         import pandas as pd
 
         for b in batches:
@@ -148,7 +149,12 @@ def scan(spark: SparkSession, root: str | Path, config: Config = Config(), langu
                 out.append((path, _LANGUAGE[_extension(path)], size, data, content_hash(data)))
             yield pd.DataFrame(out, columns=FILES.names)
 
-    return rows.repartition(n).mapInPandas(read, FILES)
+    return rows.select("relative_path", "size").mapInPandas(run, FILES)
+
+
+def scan(spark: SparkSession, root: str | Path, config: Config = Config(), languages: tuple[str, ...] | None = PARSED) -> DataFrame:
+    """FILES of a repository, with contents and hashes."""
+    return read(listing(spark, root, config, languages), root)
 
 
 def languages_of(files: DataFrame) -> DataFrame:
