@@ -55,31 +55,46 @@ def stems(known: DataFrame) -> DataFrame:
     return own.select(F.expr("left(key, length(key) - length(e.ending))").alias("base"), F.col("e.variant").alias("variant"), "target").filter("base <> ''")
 
 
-def resolve_relative(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """wanted: from_file, module_path, spec (./ or ../). The file itself, with an extension, or an index file below it."""
-    asked = wanted.select("from_file", "module_path", normalized(X.dirname(F.col("from_file")), F.col("spec")).alias("base"))
-    hits = asked.join(stems(files.select(F.col("path").alias("key"), F.col("path").alias("target"))), "base")
-    return hits.groupBy("from_file", "module_path").agg(F.min_by("target", "variant").alias("target"))
+def _lead_to(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """from_file, module_path, target. wanted: from_file, module_path, spec.
 
+    A relative path is the file itself, or that with an ending; a bare one is the longest tail of it that is the suffix of one
+    file only, or that with an ending. Both kinds of keys are joined at once, so the imports are read once.
+    """
+    spec = F.col("spec")
+    relative = _relative(spec)
+    dotted = F.when(spec.contains("/"), spec).otherwise(F.replace(spec, F.lit("."), F.lit("/")))
+    bare = F.array_join(F.filter(F.split(dotted, "/"), lambda p: p != ""), "/")
+    bases = F.when(relative, F.array(normalized(X.dirname(F.col("from_file")), spec))).otherwise(X.suffixes(bare))
+    asked = wanted.select("from_file", "module_path", relative.alias("relative"), F.posexplode(bases).alias("tail", "base")).filter("base <> ''")
+    whole = stems(files.select(F.col("path").alias("key"), F.col("path").alias("target"))).withColumn("relative", F.lit(True))
+    ends = stems(suffix_index(files).filter("n = 1").select(F.col("suffix").alias("key"), F.col("file").alias("target"))).withColumn("relative", F.lit(False))
+    hits = asked.join(whole.unionByName(ends), ["relative", "base"])
+    return hits.groupBy("from_file", "module_path").agg(F.min_by("target", F.struct("tail", "variant")).alias("target"))
+
+
+def specifiers(imports: DataFrame) -> DataFrame:
+    """from_file, module_path, spec of the distinct imports that may lead somewhere: not empty, at most 2048 bytes, no control characters."""
+    wanted = imports.select("from_file", "module_path").distinct().withColumn("spec", cleaned(F.col("module_path")))
+    return wanted.filter((F.col("spec") != "") & (F.octet_length("spec") <= 2048) & ~F.col("spec").rlike(r"[\x00-\x1f]"))
 
-def resolve_bare(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """wanted: from_file, module_path, spec. The longest tail of the path that is the suffix of one file only."""
-    like = F.when(F.col("spec").contains("/"), F.col("spec")).otherwise(F.replace(F.col("spec"), F.lit("."), F.lit("/")))
-    path = F.array_join(F.filter(F.split(like, "/"), lambda p: p != ""), "/")
-    known = stems(suffix_index(files).filter("n = 1").select(F.col("suffix").alias("key"), F.col("file").alias("target")))
-    tails = wanted.withColumn("path", path).filter("path <> ''").select("from_file", "module_path", F.posexplode(X.suffixes(F.col("path"))).alias("tail", "base"))
-    return tails.join(known, "base").groupBy("from_file", "module_path").agg(F.min_by("target", F.struct("tail", "variant")).alias("target"))
 
+def _relative(spec: Column) -> Column:
+    return spec.startswith("./") | spec.startswith("../")
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """from_file, module_path, target of the distinct imports that lead to a file. imports: from_file, module_path; files: path.
 
-    Empty paths, those over 2048 bytes and those with control characters lead nowhere.
-    """
-    wanted = imports.select("from_file", "module_path").distinct().withColumn("spec", cleaned(F.col("module_path")))
-    wanted = wanted.filter((F.col("spec") != "") & (F.octet_length("spec") <= 2048) & ~F.col("spec").rlike(r"[\x00-\x1f]"))
-    relative = F.col("spec").startswith("./") | F.col("spec").startswith("../")
-    return resolve_relative(wanted.filter(relative), files).unionByName(resolve_bare(wanted.filter(~relative), files))
+def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """The imports that begin with ./ or ../; those that lead nowhere are left out."""
+    return _lead_to(specifiers(imports).filter(_relative(F.col("spec"))), files)
+
+
+def resolve_bare(imports: DataFrame, files: DataFrame) -> DataFrame:
+    return _lead_to(specifiers(imports).filter(~_relative(F.col("spec"))), files)
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """from_file, module_path, target of the distinct imports that lead to a file. imports: from_file, module_path; files: path."""
+    return _lead_to(specifiers(imports), files)
 
 
 def import_edges(resolved: DataFrame) -> DataFrame:

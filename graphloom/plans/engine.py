@@ -34,31 +34,32 @@ class Analysis:
     process_stats: dict
 
 
-def link(nodes: DataFrame, files: DataFrame, facts: dict[str, DataFrame], link_all_folders: bool = False) -> Graph:
+def link(nodes: DataFrame, files: DataFrame, facts: dict[str, DataFrame | None], link_all_folders: bool = False) -> Graph:
     """The graph of all facts, without communities and flows. files: relative_path, language.
 
-    A kind of fact of which there is none costs no join.
+    A kind of fact of which there is none (None) costs no join.
     """
     spark = nodes.sparkSession
-    some = {k: not facts[k].isEmpty() for k in ("imports", "calls", "heritage")}
     made = graph.structure(files, link_all_folders)
     parts = [made.edges, graph.file_contains(nodes)]
     bindings = spark.createDataFrame([], "file_path string, local_name string, source_path string, exported_name string")
     imported = spark.createDataFrame([], "from_file string, target_file string")
-    heritage = facts["heritage"].select("child_id", "parent_name", "kind", F.col("relative_path").alias("file_path"))
+    heritage = spark.createDataFrame([], "child_id string, parent_name string, kind string, file_path string")
+    if facts["heritage"] is not None:
+        heritage = facts["heritage"].select("child_id", "parent_name", "kind", F.col("relative_path").alias("file_path"))
     symbols = resolve.symbol_table(nodes)
-    if some["imports"]:
+    if facts["imports"] is not None:
         imports = facts["imports"].select(F.col("relative_path").alias("from_file"), "module_path", "imported_name", "alias", "is_namespace", "ordinal")
         resolved = staged(resolve.resolve_imports(imports, files.select(F.col("relative_path").alias("path"))), "imports")
         bindings, imported = staged(resolve.named_bindings(imports, resolved), "bindings"), resolve.import_map(resolved)
         parts.append(resolve.import_edges(resolved))
-    if some["calls"]:
+    if facts["calls"] is not None:
         calls = facts["calls"].select(F.concat_ws("#", "relative_path", F.lpad(F.col("ordinal").cast("string"), 9, "0")).alias("call_id"), "caller_id", "callee_name", "receiver", F.col("relative_path").alias("from_file"))
         parts.append(resolve.call_edges(resolve.resolve_calls(calls, symbols, bindings, imported, heritage)))
-    if some["heritage"]:
+    if facts["heritage"] is not None:
         parts.append(resolve.heritage_edges(resolve.resolve_heritage(heritage, symbols, bindings, imported)))
     edges = reduce(DataFrame.unionByName, parts)
-    if some["imports"]:
+    if facts["imports"] is not None:
         # two specifiers may lead to one file: an id has one edge
         edges = graph.upsert(edges.limit(0), conform(edges, EDGES))
     return Graph(staged(made.nodes.unionByName(conform(nodes, NODES)), "nodes"), staged(conform(edges, EDGES), "edges"))
@@ -92,16 +93,22 @@ def analyze(spark: SparkSession, root: str, out: str, config: Config = Config(),
     if old:
         changed = changes.filter("status in ('added', 'modified')").select(F.col("file_path").alias("relative_path"))
         listed = listed.join(changed, "relative_path", "left_semi")
-    tables = facts_of.exploded(staged(facts_of.parse(scan.read(listed, root)), "parsed"))
+    parsed = staged(facts_of.parse(scan.read(listed, root)), "parsed")
+    tables: dict[str, DataFrame | None] = facts_of.exploded(parsed)
+    kinds = ("imports", "calls", "heritage")
+    seen = parsed.agg(*[F.sum(F.size(k)).alias(k) for k in kinds]).first()
+    for k in kinds:
+        tables[k] = tables[k] if seen[k] else None
     if old and n["unchanged"]:
         same = changes.filter("status = 'unchanged'").select("file_path")
-        before = store.load_facts(spark, out)
         kept_nodes = store.load(spark, out)[0].nodes.filter("language is not null and label <> 'File'").join(same, "file_path", "left_semi")
         tables["nodes"] = staged(tables["nodes"].unionByName(conform(kept_nodes, NODES)), "nodes")
-        for name in ("imports", "calls", "heritage"):  # written anew, as the store's own tables are replaced
-            tables[name] = staged(tables[name].unionByName(before[name].join(same.withColumnRenamed("file_path", "relative_path"), "relative_path", "left_semi")), name)
+        for k, before in store.load_facts(spark, out).items():  # written anew, as the store's own tables are replaced
+            if before is not None:
+                kept = before.join(same.withColumnRenamed("file_path", "relative_path"), "relative_path", "left_semi")
+                tables[k] = staged(kept if tables[k] is None else tables[k].unionByName(kept), k)
     whole, stats = enrich(link(tables["nodes"], files.select("relative_path", "language"), tables, link_all_folders), config)
-    store.save(whole, hashes, out, {k: tables[k] for k in ("imports", "calls", "heritage")})
+    store.save(whole, hashes, out, {k: tables[k] for k in kinds})
     made = store.load(spark, out)[0]
     if registry:
         registry.upsert(root, out, nodes=made.nodes.count(), edges=made.edges.count())

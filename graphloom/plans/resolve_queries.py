@@ -26,12 +26,6 @@ bhit AS (SELECT from_file, module_path, arg_min(file, k * 100 + v) AS target FRO
 _RESOLVED = f"{_SUFFIX}, {_VARIANTS}, {_WANTED}, {_RELATIVE}, {_BARE}, resolved AS (SELECT * FROM rhit UNION ALL SELECT * FROM bhit)"
 
 
-def specs(v: Views, relative: bool) -> DataFrame:
-    wanted = v.path_imports.distinct().withColumn("spec", resolve.cleaned(F.col("module_path"))).filter("spec <> ''")
-    is_relative = F.col("spec").startswith("./") | F.col("spec").startswith("../")
-    return wanted.filter(is_relative if relative else ~is_relative)
-
-
 def resolved(v: Views) -> DataFrame:
     return resolve.resolve_imports(v.path_imports, v.paths)
 
@@ -43,12 +37,12 @@ def r1_suffix_index(v: Views) -> DataFrame:
 
 @query(f"WITH {_RESOLVED} SELECT * FROM rhit")
 def r2_relative_imports(v: Views) -> DataFrame:
-    return resolve.resolve_relative(specs(v, True), v.paths)
+    return resolve.resolve_relative(v.path_imports, v.paths)
 
 
 @query(f"WITH {_RESOLVED} SELECT * FROM bhit")
 def r3_bare_imports(v: Views) -> DataFrame:
-    return resolve.resolve_bare(specs(v, False), v.paths)
+    return resolve.resolve_bare(v.path_imports, v.paths)
 
 
 @query(f"WITH {_RESOLVED} SELECT * FROM resolved")

@@ -134,22 +134,24 @@ def listing(spark: SparkSession, root: str | Path, config: Config = Config(), la
 
 def read(rows: DataFrame, root: str | Path) -> DataFrame:
     """FILES of the listed paths, read by the executors; `root` is a folder that all machines see. What can't be read is left out."""
-    top = str(root)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    top, arrow = str(root), to_arrow_schema(FILES)
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for b in batches:
             out = []
-            for path, size in zip(b["relative_path"], b["size"], strict=True):
+            for path, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     data = Path(top, path).read_bytes()
                 except OSError:
                     continue
-                out.append((path, _LANGUAGE[_extension(path)], size, data, content_hash(data)))
-            yield pd.DataFrame(out, columns=FILES.names)
+                out.append({"relative_path": path, "language": _LANGUAGE[_extension(path)], "size": size, "content": data, "hash": content_hash(data)})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return rows.select("relative_path", "size").mapInPandas(run, FILES)
+    return rows.select("relative_path", "size").mapInArrow(run, FILES)
 
 
 def scan(spark: SparkSession, root: str | Path, config: Config = Config(), languages: tuple[str, ...] | None = PARSED) -> DataFrame:

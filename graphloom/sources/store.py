@@ -36,11 +36,14 @@ def drop(spark: SparkSession, path: str) -> bool:
 
 
 def save(graph: Graph, file_hashes: DataFrame, path: str, facts: dict[str, DataFrame] | None = None) -> None:
-    """Nodes, edges by relation, hashes and facts. Edges come last: a graph without them isn't there yet."""
+    """Nodes, edges by relation, hashes and facts (None: there are none). Edges come last: a graph without them isn't there yet."""
     graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     file_hashes.select("file_path", "hash").write.mode("overwrite").parquet(f"{path}/file_hashes")
     for name, rows in (facts or {}).items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        if rows is None:
+            drop(graph.nodes.sparkSession, f"{path}/{name}")
+        else:
+            rows.write.mode("overwrite").parquet(f"{path}/{name}")
     graph.nodes.sparkSession.createDataFrame([(VERSION,)], "version int").coalesce(1).write.mode("overwrite").json(f"{path}/version")
     graph.edges.write.mode("overwrite").partitionBy("rel_type").parquet(f"{path}/edges")
 
@@ -54,7 +57,13 @@ def load(spark: SparkSession, path: str) -> tuple[Graph, DataFrame]:
 
 
 def load_facts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{path}/{t}") for t in TABLES[3:]}
+    """The facts by kind; None where there are none."""
+
+    def one(name: str) -> DataFrame | None:
+        fs, p = _path(spark, f"{path}/{name}/_SUCCESS")
+        return spark.read.parquet(f"{path}/{name}") if fs.exists(p) else None
+
+    return {t: one(t) for t in TABLES[3:]}
 
 
 def _nested(columns: tuple[str, ...]):
