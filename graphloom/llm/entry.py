@@ -100,5 +100,27 @@ FROM d LEFT JOIN marks USING (rid) LEFT JOIN found USING (rid)
 """
 
 
+def _secrets_sql() -> str:
+    """The spans of each rule from its matches and the gaps between them, as the contract of op6 says.
+
+    Where all that a rule asks for is a run of some length, the run's length is in the pattern: the rows
+    are the same, and single letters of prose are no matches.
+    """
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    longer = {"hex": "[0-9a-f]{24,}", "access": "AKIA[A-Z0-9]{16,}"}
+    parts = []
+    for k, r in enumerate(secrets_scan.RULES):
+        regex = quoted(longer.get(r.kind, r.regex))
+        kept = f"regexp_extract_all(t, {regex}, {r.keep_group})"
+        parts.append(f"SELECT rid, {k} AS rank, '{r.kind}' AS kind, {r.keep_chars} AS least, regexp_extract_all(t, {regex}) AS found, {kept} AS kept, regexp_split_to_array(t, {regex}) AS gaps FROM d WHERE regexp_matches(t, {regex})")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}),
+p AS (SELECT rid, rank, kind, least, length(found[k]) AS n, length(kept[k]) AS kn, CAST(sum(length(gaps[k]) + length(found[k])) OVER (PARTITION BY rid, rank ORDER BY k) AS BIGINT) AS e FROM m, unnest(generate_series(1, len(found))) AS g(k)),
+s AS (SELECT rid, rank, e - n AS b, kind || ':' || (e - n) || ':' || e AS span FROM p WHERE kn >= least),
+o AS (SELECT rid, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS c, count(*) FILTER (rank = 2) AS h, string_agg(span, ',' ORDER BY b, rank) FILTER (rank < {len(secrets_scan.BASE)}) AS base, string_agg(span, ',' ORDER BY b, rank) AS spans FROM s GROUP BY rid)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _OP4}
+    return {"op4_decontamination": _OP4, "op6_secrets": _secrets_sql()}

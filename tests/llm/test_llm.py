@@ -313,6 +313,11 @@ def test_secret_queries():
                 assert holds(q, t.lower())
 
 
+def test_secrets_query(spark, tiny):
+    con = oracle.connect(tiny)
+    assert oracle.differences(entry.op6_secrets(spark, tiny), con, entry.oracle_sql()["op6_secrets"]) == []
+
+
 def test_secrets_query_is_native(spark, tiny):
     plan = entry.op6_secrets(spark, tiny)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
