@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import NODES, conform, is_symbol, make_edges
-from ..staging import staged
+from ..staging import numbered, staged
 from .graph import Graph
 
 LEAST_CONFIDENCE = 0.5
@@ -96,8 +96,7 @@ def modularity(near: DataFrame, community: DataFrame, resolution: float = 1.0) -
 def ranked_communities(community: DataFrame, least: int = 2) -> DataFrame:
     """community, size, position: those of two members and more, the largest first, then the smallest number."""
     sizes = community.groupBy("community").agg(F.count("*").alias("size"), F.min("id").alias("first")).filter(F.col("size") >= least)
-    # communities are far fewer than nodes; ranks come from one sort of them
-    return sizes.withColumn("position", F.row_number().over(Window.orderBy(F.desc("size"), "first")) - 1)
+    return numbered(sizes, F.desc("size"), "first")
 
 
 def community_labels(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -188,8 +187,9 @@ def trace(starts: DataFrame, calls: DataFrame, max_depth: int = 10, branching: i
 def long_enough(traces: DataFrame, ranks: DataFrame, max_processes: int, min_steps: int = 3) -> DataFrame:
     """Traces of `min_steps` and more, entry by entry (by score, then id) until there are twice `max_processes`."""
     kept = traces.filter(F.size("path") >= min_steps)
-    counts = ranks.join(kept.groupBy(F.col("entry").alias("id")).agg(F.count("*").alias("n")), "id")
-    # entries that have a trace only: a running sum over one row for each
+    counts = ranks.select("id", "score").join(kept.groupBy(F.col("entry").alias("id")).agg(F.count("*").alias("n")), "id")
+    # each has a trace, so no more than the first 2 * max_processes can be needed: the running sum is over these
+    counts = counts.orderBy(F.desc("score"), "id").limit(2 * max_processes)
     before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = counts.withColumn("before", before).filter(F.col("before") < 2 * max_processes).select(F.col("id").alias("entry"))
     return kept.join(chosen, "entry", "left_semi")
@@ -220,8 +220,16 @@ def processes(graph: Graph, membership: DataFrame, max_processes: int = 200, max
         spark = entries.sparkSession
         none = spark.createDataFrame([], "id string, path array<string>")
         return spark.createDataFrame([], NODES), step_edges(none), {"total_processes": 0, "cross_community": 0, "avg_step_count": 0.0, "entry_points_found": 0}
-    # each entry has a trace at most `min_steps` long or longer: enough entries for twice the processes, in batches
-    traces = staged(trace(entries, call_arcs(graph.edges), max_depth, branching), "traces")
+    # entries by rank, in growing batches, until there are traces enough: the rest need not be traced
+    ranked = numbered(entries, F.desc("score"), "id")
+    total, start, size, long, found = entries.count(), 0, 4 * max_processes, 0, []
+    calls = call_arcs(graph.edges)
+    while start < total and long < 2 * max_processes:
+        batch = ranked.filter(F.col("position").between(start, start + size - 1))
+        found.append(staged(trace(batch, calls, max_depth, branching), "traces"))
+        long += found[-1].filter(F.size("path") >= min_steps).count()
+        start, size = start + size, size * 4
+    traces = reduce(DataFrame.unionByName, found)
     kept = by_endpoints(drop_subsets(staged(long_enough(traces, entries, max_processes, min_steps), "long-traces")))
     top = staged(kept.orderBy(F.desc(F.size("path")), "path").limit(max_processes), "flows")
     own = top.withColumn("position", F.row_number().over(Window.orderBy(F.desc(F.size("path")), "path")) - 1)  # `max_processes` rows
@@ -240,7 +248,7 @@ def processes(graph: Graph, membership: DataFrame, max_processes: int = 200, max
     )
     edges = step_edges(made)
     stats = made.agg(F.count("*").alias("total_processes"), F.count_if(F.col("process_type") == "cross_community").alias("cross_community"), F.round(F.coalesce(F.avg("step_count"), F.lit(0.0)), 1).alias("avg_step_count")).first().asDict()
-    return conform(made, NODES), edges, stats | {"entry_points_found": entries.count()}
+    return conform(made, NODES), edges, stats | {"entry_points_found": total}
 
 
 def step_edges(flows: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def a2_louvain(v: Views) -> DataFrame:
 
 @query(f"WITH {_MEMBERS} SELECT community, count(*) AS size, min(id) AS first, row_number() OVER (ORDER BY count(*) DESC, min(id)) - 1 AS position FROM members GROUP BY community HAVING count(*) >= 2")
 def a3_ranked_communities(v: Views) -> DataFrame:
-    return analytics.ranked_communities(members(v)).withColumn("position", F.col("position").cast("long"))
+    return analytics.ranked_communities(members(v))
 
 
 @query()

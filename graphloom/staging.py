@@ -4,6 +4,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +25,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/graphloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order, name: str = "position") -> DataFrame:
+    """The rows with their place in an order, from 0, in a written table.
+
+    A sort over all partitions, and the counts of these, instead of a window that takes all rows to one task.
+    """
+    spark = df.sparkSession
+    laid = staged(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33).cast("int")
+    before, rows = 0, []
+    for p, n in sorted((r[0], r[1]) for r in laid.groupBy(part.alias("p")).count().collect()):  # a row for each partition
+        rows.append((p, before))
+        before += n
+    starts = spark.createDataFrame(rows, "_part int, _start long")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return laid.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_start", "_at")
