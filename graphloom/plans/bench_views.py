@@ -44,9 +44,10 @@ SELECT 'src/n' || (p_partkey % 25) || '.ts' AS file_path, p_name AS local_name,
 UNION ALL SELECT 'lib/b' || b || '.ts', p_name, 'lib/b' || (b + 1) || '.ts', p_name FROM (SELECT DISTINCT CAST(substring(p_brand, 7, 5) AS INT) + 25 AS b FROM part) x, (SELECT DISTINCT p_name FROM part WHERE p_size < 20) y
 UNION ALL SELECT 'src/n' || (s_suppkey % 25) || '.ts', 'obj' || (s_suppkey % 20), min('src/n' || s_nationkey || '.ts'), 'supplier_' || (s_suppkey % 20) FROM supplier GROUP BY s_suppkey % 25, s_suppkey % 20""",
     "calls": """
-SELECT l_orderkey * 10 + l_linenumber AS call_id, 'order::' || l_orderkey AS caller_id, CASE WHEN l_linenumber = 2 THEN lower(c_mktsegment) || '_' || (c_custkey % 50) ELSE p_name END AS callee_name,
-  CASE WHEN l_linenumber = 3 THEN 'obj' || (l_suppkey % 20) WHEN l_linenumber = 2 THEN lower(c_mktsegment) || '_' || (l_partkey % 50) END AS receiver, 'src/n' || c_nationkey || '.ts' AS from_file
-FROM (SELECT l_orderkey, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, l_linenumber FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber) l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey""",
+SELECT (l_orderkey * 10 + l_linenumber) * 100 + copy AS call_id, 'order::' || l_orderkey AS caller_id,
+  CASE l_linenumber WHEN 2 THEN lower(c_mktsegment) || '_' || (c_custkey % 50) WHEN 4 THEN 'supplier_' || (l_suppkey % 20) WHEN 5 THEN 'handle_' || lower(substring(o_orderpriority, 3, 20)) WHEN 6 THEN lower(c_mktsegment) || '_' || (l_partkey % 50) ELSE p_name END AS callee_name,
+  CASE l_linenumber WHEN 3 THEN 'obj' || (l_suppkey % 20) WHEN 2 THEN lower(c_mktsegment) || '_' || (l_partkey % 50) WHEN 7 THEN 'obj' || (l_partkey % 25) END AS receiver, 'src/n' || c_nationkey || '.ts' AS from_file
+FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS copy FROM lineitem) l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey""",
     "heritage": """
 SELECT 'customer::' || c_custkey AS child_id, CASE c_custkey % 4 WHEN 0 THEN 'supplier_' || (c_custkey % 25) WHEN 1 THEN 'Base' || (c_custkey % 7) ELSE lower(c_mktsegment) || '_' || (c_custkey % 60) END AS parent_name, CASE WHEN c_custkey % 2 = 0 THEN 'Implements' ELSE 'Extends' END AS kind, 'src/n' || c_nationkey || '.ts' AS file_path FROM customer""",
     # paths from page addresses
@@ -77,10 +78,10 @@ SELECT 'lib/' || p_brand || '/' || (p_partkey % 17 + CASE WHEN p_partkey % 19 =
 UNION ALL SELECT 'lib/new/' || (s_suppkey % 5) || '.ts', sum(s_suppkey) FROM supplier GROUP BY 1""",
     # variables, from events in their order
     "assignments": """
-SELECT CASE WHEN event_id % 3 = 0 THEN 'f' || (user_id % 40) ELSE 'f' || (user_id % 40) || '::g' || (event_id % 5) END AS scope, 'v' || (event_id % 400) AS variable,
+SELECT CASE event_id % 3 WHEN 0 THEN 'f' || (user_id % 40) WHEN 1 THEN 'f' || (user_id % 40) || '::g' || (event_id % 5) ELSE 'f' || (user_id % 40) || '::h' || (event_id % 7) END AS scope, 'v' || (event_id % 400) AS variable,
   CASE event_type WHEN 'view' THEN 'Constructor' WHEN 'click' THEN 'TypeAnnotation' WHEN 'purchase' THEN 'FunctionCall' ELSE 'Variable' END AS kind,
   CASE event_type WHEN 'view' THEN 'C' || (event_id % 9) WHEN 'click' THEN 'T' || (event_id % 11) WHEN 'purchase' THEN 'fn' || (event_id % 30) ELSE 'v' || ((event_id * 7 + 1) % 400) END AS source, event_id AS ordinal
-FROM events WHERE event_id % 3 <> 2""",
+FROM events""",
 }
 
 _WORD = re.compile(r"[a-z_]+")
