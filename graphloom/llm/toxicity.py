@@ -33,7 +33,6 @@ class Settings:
     dims: int = DIMS
     max_positive: int = 4_000
     max_unlabelled: int = 12_000
-    max_features: int = 1_500  # features of a training text that are kept, the smallest hashes first
     least_z: float = 5.0  # standard errors between a feature's shares of positive and of unlabelled texts
     steps: int = 150
     rate: float = 0.1
@@ -153,14 +152,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
         kinds.setdefault(doc, []).append(kind)
     told = session_of(docs).createDataFrame([(d,) for d in kinds], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
     wanted = id_and_text(docs).join(F.broadcast(told), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    dims, most = settings.dims, settings.max_features
+    dims = settings.dims
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         own = Hasher(dims)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.of(t)[:most] for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "places"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.of(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "places"])
 
     # as arrays of 4-byte numbers: lists of Python's would take ten times the driver's memory
     rows = wanted.mapInArrow(run, f"doc_id {wanted.schema[0].dataType.simpleString()}, places array<int>").toArrow()
