@@ -2,7 +2,7 @@
 
 A text is rejected by the method if its zstandard ratio (bytes before by bytes after) is outside the band
 for its length: too high says it repeats itself, too low that it is noise. Texts of more than a
-chunk are also cut into fixed chunks, and rejected if over `share` of the chunks are outside the chunk band.
+chunk are also cut into fixed chunks, the last one ending where the text ends, and rejected if over `share` of the chunks are outside the chunk band.
 
 Defined results: null and empty texts have no words and fail (fewer than 50 words). Rows come back
 one for one; other columns are ignored.
@@ -75,6 +75,8 @@ class Compressor:
         low, high = next((a, b) for most, a, b in self.bands.whole if len(data) <= most)
         size = self.bands.chunk
         pieces = [data[k : k + size] for k in range(0, len(data) - size + 1, size)] if len(data) > size else []
+        if pieces and len(data) % size:
+            pieces.append(data[-size:])
         least, most = self.bands.chunk_band
         odd = sum(not least <= self.ratio(p) <= most for p in pieces)
         return whole, odd, low <= whole <= high and odd <= self.bands.share * len(pieces)

@@ -1,7 +1,9 @@
 """The text operators look at the whole of each text."""
+import random
+
 from test_llm import LABELS, frame
 
-from graphloom.llm import toxicity
+from graphloom.llm import quality_rules, toxicity
 from graphloom.llm.common import crc_fold
 
 
@@ -13,3 +15,18 @@ def test_long_training_texts_keep_all_features(spark):
     want = toxicity.Hasher(toxicity.DIMS).of(text)
     assert len(want) > 3000 and [list(x) for x in positive] == [want]
     assert sorted(len(x) for x in unlabelled) == sorted([len(want), len(toxicity.Hasher(toxicity.DIMS).of("short one"))])
+
+
+def test_last_chunk_is_measured():
+    rng = random.Random(3)
+    letters = "etaoinshrdlucmfwypvbgk"
+    prose = ""
+    while len(prose) < 4600:
+        prose += "".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) + " "
+    text = prose + ("the same phrase again " * 200)
+    text = text[:8191]
+    own = quality_rules.Compressor()
+    whole, odd, kept = own.verdict(text)
+    assert 1.3 <= whole <= 5.0 and own.ratio(text[:4096].encode()) < 5.0 < own.ratio(text[-4096:].encode())
+    assert odd == 1 and not kept
+    assert own.verdict(text[:4096])[1:] == (0, True)
