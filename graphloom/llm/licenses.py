@@ -1,18 +1,19 @@
-"""Licence notices found by conditional compression.
+"""Licence notices found by exact wording around each cue and by conditional compression.
 
-A line that speaks of licensing is a candidate block, and so is that line with the lines of the same paragraph
-after it; the one that has more of a licence's words counts. A block is
-compressed with zstandard alone and once with each template as a raw dictionary; templates are
-ranked by the bytes that their dictionary saves. The best are confirmed by exact
-wording: the words of the template that the block lacks, and the words that the block has in between, are
-counted by a longest common subsequence, and the notice counts if few enough are missing.
+A word that speaks of licensing is a cue. Around each cue, each template has a window of twice its words on both sides, within
+the same paragraph's lines; where the window has enough of the template's words at all, exact wording decides: the words
+of the template that the window lacks, and the words in between, are counted by matching blocks, and the
+notice counts if few enough are missing and the cue lies in it. The notice with the most words of its template stays;
+ties go by the bytes that zstandard saves with the template as a raw dictionary. The search goes on after its last word.
 
 Defined results: null and empty texts have no notices; rows come back one for one; other columns are
-ignored. Positions are code points of the block, ends exclusive.
+ignored. Positions are code points of the notice with the punctuation that follows it, ends exclusive.
 """
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -41,14 +42,13 @@ TEMPLATES = {
 _CUE = re.compile(r"licen[sc]e|copyright|all rights reserved|redistribut|permission is hereby|public domain|creative commons|spdx", re.I | re.A)
 _LINE = re.compile(r"[^\n]+")
 _WORD = re.compile(r"\w+(?:[.\-]\w+)*")
+_TAIL = re.compile(r"[^\w\s]*")
 
 
 @dataclass(frozen=True)
 class Settings:
-    most_lines: int = 12  # lines in a block, the cue's line first
-    best: int = 3  # templates that are confirmed, by their ranks
-    least_saving: int = 8  # bytes
-    least_share: float = 0.85  # of the template's words that the block has, in order
+    most_lines: int = 12  # lines that are looked at, the cue's line first
+    least_share: float = 0.85  # of the template's words that the notice has, in order
     level: int = 3
 
 
@@ -59,23 +59,12 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def blocks(text: str, most_lines: int) -> list[list[tuple[int, int]]]:
-    """For each line with a cue: that line, and the run of lines from it to a blank line."""
-    if not _CUE.search(text):
-        return []
-    lines = [m.span() for m in _LINE.finditer(text)]
-    out, k = [], 0
-    while k < len(lines):
-        a, b = lines[k]
-        if not _CUE.search(text, a, b):
-            k += 1
-            continue
-        end = k + 1
-        while end < len(lines) and end - k < most_lines and lines[end][0] == lines[end - 1][1] + 1:
-            end += 1
-        out.append([(a, b)] + [(a, lines[end - 1][1])] * (end - k > 1))
-        k += 1
-    return out
+def reach(lines: list[tuple[int, int]], k: int, most_lines: int) -> int:
+    """The end of the run of lines from line k to a blank line."""
+    end = k + 1
+    while end < len(lines) and end - k < most_lines and lines[end][0] == lines[end - 1][1] + 1:
+        end += 1
+    return lines[end - 1][1]
 
 
 class Matcher:
@@ -86,49 +75,66 @@ class Matcher:
         self.plain = z.ZstdCompressor(level=settings.level, write_content_size=False, write_checksum=False).compress
         self.names = list(templates)
         self.words = [words(t) for t in templates.values()]
+        self.bags = [Counter(w) for w in self.words]
         self.given = [z.ZstdCompressor(level=settings.level, dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress for t in templates.values()]
 
-    def ranked(self, block: bytes) -> list[tuple[int, int]]:
-        """(bytes saved, template), the largest first."""
-        alone = len(self.plain(block))
-        return sorted(((alone - len(c(block)), k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
-
-    def confirm(self, block: list[str], template: int) -> tuple[int, int]:
-        """Words of the template that the block lacks, and words of the block within what matches."""
-        want = self.words[template]
-        m = SequenceMatcher(None, want, block, autojunk=False).get_matching_blocks()
-        m = [x for x in m if x.size]
+    def saving(self, notice: bytes, template: int) -> int:
+        """Bytes that the template as a dictionary saves."""
+        return len(self.plain(notice)) - len(self.given[template](notice))
+
+    def confirm(self, block: list[str], template: int) -> tuple[int, int, int, int] | None:
+        """Words of the template that the block lacks, words of the block within what matches, and where that is."""
+        m = SequenceMatcher(None, self.words[template], block, autojunk=False).get_matching_blocks()[:-1]
+        # an outer match that is farther off than it is long is a word of the prose
+        while len(m) > 1 and m[1].b - m[0].b - (m[1].a - m[0].a) > m[0].size:
+            m = m[1:]
+        while len(m) > 1 and (m[-1].b - m[-2].b - m[-2].size) - (m[-1].a - m[-2].a - m[-2].size) > m[-1].size:
+            m = m[:-1]
         if not m:
-            return len(want), 0
-        same = sum(x.size for x in m)
-        return len(want) - same, m[-1].b + m[-1].size - m[0].b - same
-
-    def best(self, text: str, spans: list[tuple[int, int]]) -> dict | None:
-        """The confirmed notice with the most words of its template, in the shortest of the blocks."""
-        found = []
-        for start, end in spans:
-            block = text[start:end]
-            own = words(block)
-            for saving, k in self.ranked(block.encode())[: self.settings.best]:
-                if saving < self.settings.least_saving:
-                    break
-                missing, more = self.confirm(own, k)
-                n = len(self.words[k])
-                if n - missing >= self.settings.least_share * n and more <= n:
-                    found.append((n - missing, -more, start - end, saving, -k, missing))
-        if not found:
             return None
-        _, more, size, saving, k, missing = max(found)
-        start = spans[0][0]
-        return {"licence": self.names[-k], "start": start, "end": start - size, "saving": saving, "missing": missing, "more": -more}
+        same, start, end = sum(x.size for x in m), m[0].b, m[-1].b + m[-1].size
+        return len(self.words[template]) - same, end - start - same, start, end
+
+    def best(self, text: str, found: list[tuple[int, int]], own: list[str], cue: int) -> dict | None:
+        """The confirmed notice around the word `cue` that has the most words of its template. found: the words' positions."""
+        out = []
+        for k, want in enumerate(self.words):
+            n = len(want)
+            low = max(0, cue - 2 * n)
+            block = own[low : cue + 2 * n + 1]
+            if (Counter(block) & self.bags[k]).total() < self.settings.least_share * n:
+                continue
+            if (got := self.confirm(block, k)) is None:
+                continue
+            missing, more, a, b = got
+            if n - missing >= self.settings.least_share * n and more <= n and low + a <= cue < low + b:
+                start, end = found[low + a][0], _TAIL.match(text, found[low + b - 1][1]).end()
+                out.append((n - missing, -more, self.saving(text[start:end].encode(), k), -k, missing, start, end))
+        if not out:
+            return None
+        _, more, saving, k, missing, start, end = max(out)
+        return {"licence": self.names[-k], "start": start, "end": end, "saving": saving, "missing": missing, "more": -more}
 
     def notices(self, text: str | None) -> list[dict]:
         """The notices of a text, one after the other: what lies in one begins no other."""
         out, free = [], 0
-        for spans in blocks(text, self.settings.most_lines) if text else []:
-            if spans[0][0] >= free and (got := self.best(text, spans)):
-                out.append(got)
-                free = got["end"]
+        if not text or not _CUE.search(text):
+            return out
+        lines = [m.span() for m in _LINE.finditer(text)]
+        for k, (a, b) in enumerate(lines):
+            if not _CUE.search(text, a, b):
+                continue
+            end, found = reach(lines, k, self.settings.most_lines), None
+            at = max(a, free)
+            while at < b and (cue := _CUE.search(text, at, b)):
+                if found is None:  # what lies before `at` is in a notice
+                    found = [m.span() for m in _WORD.finditer(text, max(a, free), end)]
+                    own = [text[x:y].lower() for x, y in found]
+                    ends = [y for _, y in found]
+                at = cue.end()
+                if (got := self.best(text, found, own, bisect_right(ends, cue.start()))) is not None:
+                    out.append(got)
+                    at, free, found = max(at, got["end"]), got["end"], None
         return out
 
 

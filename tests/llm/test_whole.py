@@ -3,7 +3,7 @@ import random
 
 from test_llm import LABELS, frame
 
-from graphloom.llm import quality_rules, toxicity
+from graphloom.llm import licenses, quality_rules, toxicity
 from graphloom.llm.common import crc_fold
 
 
@@ -30,3 +30,15 @@ def test_last_chunk_is_measured():
     assert 1.3 <= whole <= 5.0 and own.ratio(text[:4096].encode()) < 5.0 < own.ratio(text[-4096:].encode())
     assert odd == 1 and not kept
     assert own.verdict(text[:4096])[1:] == (0, True)
+
+
+def test_notices_in_long_lines():
+    rng = random.Random(5)
+    some = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    own = licenses.Matcher()
+    for name, notice in licenses.TEMPLATES.items():
+        prose = [" ".join(rng.choice(some) for _ in range(900)) for _ in range(2)]
+        line = f"{prose[0]} {notice} {prose[1]} All rights reserved."
+        got = own.notices(line)
+        assert [n["licence"] for n in got] == [name, "All-rights-reserved"]
+        assert line[got[0]["start"] : got[0]["end"]] == notice
