@@ -47,7 +47,6 @@ _TAIL = re.compile(r"[^\w\s]*")
 
 @dataclass(frozen=True)
 class Settings:
-    most_lines: int = 12  # lines that are looked at, the cue's line first
     least_share: float = 0.85  # of the template's words that the notice has, in order
     level: int = 3
 
@@ -59,12 +58,17 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def reach(lines: list[tuple[int, int]], k: int, most_lines: int) -> int:
-    """The end of the run of lines from line k to a blank line."""
-    end = k + 1
-    while end < len(lines) and end - k < most_lines and lines[end][0] == lines[end - 1][1] + 1:
-        end += 1
-    return lines[end - 1][1]
+def paragraphs(text: str) -> Iterator[tuple[int, int]]:
+    """The runs of lines between empty ones."""
+    start = last = None
+    for m in _LINE.finditer(text):
+        a, b = m.span()
+        if start is not None and a != last + 1:
+            yield start, last
+            start = None
+        start, last = a if start is None else start, b
+    if start is not None:
+        yield start, last
 
 
 class Matcher:
@@ -95,12 +99,12 @@ class Matcher:
         same, start, end = sum(x.size for x in m), m[0].b, m[-1].b + m[-1].size
         return len(self.words[template]) - same, end - start - same, start, end
 
-    def best(self, text: str, found: list[tuple[int, int]], own: list[str], cue: int) -> dict | None:
-        """The confirmed notice around the word `cue` that has the most words of its template. found: the words' positions."""
+    def best(self, text: str, found: list[tuple[int, int]], own: list[str], cue: int, first: int) -> dict | None:
+        """The confirmed notice around the word `cue`, from the word `first` on, that has the most words of its template. found: the words' positions."""
         out = []
         for k, want in enumerate(self.words):
             n = len(want)
-            low = max(0, cue - 2 * n)
+            low = max(first, cue - 2 * n)
             block = own[low : cue + 2 * n + 1]
             if (Counter(block) & self.bags[k]).total() < self.settings.least_share * n:
                 continue
@@ -117,24 +121,21 @@ class Matcher:
 
     def notices(self, text: str | None) -> list[dict]:
         """The notices of a text, one after the other: what lies in one begins no other."""
-        out, free = [], 0
+        out: list[dict] = []
         if not text or not _CUE.search(text):
             return out
-        lines = [m.span() for m in _LINE.finditer(text)]
-        for k, (a, b) in enumerate(lines):
-            if not _CUE.search(text, a, b):
-                continue
-            end, found = reach(lines, k, self.settings.most_lines), None
-            at = max(a, free)
-            while at < b and (cue := _CUE.search(text, at, b)):
-                if found is None:  # what lies before `at` is in a notice
-                    found = [m.span() for m in _WORD.finditer(text, max(a, free), end)]
+        for a, b in paragraphs(text):
+            at, first, found = a, 0, None
+            while cue := _CUE.search(text, at, b):
+                if found is None:
+                    found = [m.span() for m in _WORD.finditer(text, a, b)]
                     own = [text[x:y].lower() for x, y in found]
                     ends = [y for _, y in found]
                 at = cue.end()
-                if (got := self.best(text, found, own, bisect_right(ends, cue.start()))) is not None:
+                if (got := self.best(text, found, own, bisect_right(ends, cue.start()), first)) is not None:
                     out.append(got)
-                    at, free, found = max(at, got["end"]), got["end"], None
+                    at = max(at, got["end"])
+                    first = bisect_right(ends, got["end"])
         return out
 
 

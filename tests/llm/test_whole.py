@@ -42,3 +42,12 @@ def test_notices_in_long_lines():
         got = own.notices(line)
         assert [n["licence"] for n in got] == [name, "All-rights-reserved"]
         assert line[got[0]["start"] : got[0]["end"]] == notice
+
+
+def test_notices_over_any_lines_of_a_paragraph():
+    own = licenses.Matcher()
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. */"
+    assert [(n["licence"], n["missing"], n["more"], n["start"]) for n in own.notices(mpl)] == [("MPL-2.0", 0, 0, 3)]
+    narrow = "Intro line\n" + licenses.TEMPLATES["MIT"].replace(" ", "\n") + "\nafter\n\nAll rights reserved."
+    assert [(n["licence"], n["missing"], n["more"]) for n in own.notices(narrow)] == [("MIT", 0, 0), ("All-rights-reserved", 0, 0)]
+    assert own.notices("This Source Code Form is subject to the terms of the Mozilla Public\n\nLicense, v. 2.0.") == []
