@@ -27,6 +27,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import id_and_text, session_of, small_batches, staged
 
@@ -253,15 +254,16 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def components(fps: DataFrame, radius: int = RADIUS, shard_rows: int = 50_000) -> DataFrame:
-    """fp, component_id: for each distinct fingerprint the smallest id that links reach. fps: doc_id, fp."""
+    """fp, component_id, root_fp: for each distinct fingerprint the smallest id that links reach, and that one's fingerprint. fps: doc_id, fp."""
     nodes = staged(
         fps.groupBy("fp").agg(F.min("doc_id").alias("id")).select(F.struct(F.col("id").isNull().alias("nil"), F.col("id"), F.col("fp")).alias("node")),
         "fingerprints",
     )
     m = choose_m(nodes.count(), radius)
     found = stars(links(nodes, m, radius, shard_rows))
-    to = found.select(F.col("v.fp").alias("fp"), F.col("root.id").alias("to"), F.lit(True).alias("linked"))
-    return nodes.select("node.fp", "node.id").join(to, "fp", "left").select("fp", F.when(F.col("linked"), F.col("to")).otherwise(F.col("id")).alias("component_id"))
+    to = found.select(F.col("v.fp").alias("fp"), F.col("root.id").alias("to"), F.col("root.fp").alias("to_fp"))
+    linked = F.col("to_fp").isNotNull()
+    return nodes.select("node.fp", "node.id").join(to, "fp", "left").select("fp", F.when(linked, F.col("to")).otherwise(F.col("id")).alias("component_id"), F.coalesce("to_fp", "fp").alias("root_fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -271,18 +273,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(staged(components(fps, radius), "components"), "fp").select("doc_id", "fp", "component_id")
 
 
+def with_fingerprints(docs: DataFrame, name: str, words: int) -> DataFrame:
+    """The documents with all their columns, and their fingerprints in the column `name`."""
+    small_batches(session_of(docs))
+    where = docs.columns.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            fp = np.array([fingerprint(t, words) for t in b.column(where).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def deduplicated(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents with one row of each component: that with the smallest doc_id (any one of rows that repeat it)."""
-    found = near_duplicates(docs, words=words, radius=radius)
-    own = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = staged(own.groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_keep"), "kept")
+    """The documents with one row of each component: that with the smallest doc_id (any one of rows that repeat it with its fingerprint).
+
+    Rows are told apart by id and fingerprint, since ids may be null or repeat under texts of other components.
+    """
+    fps = staged(fingerprints(docs, words=words), "simhash")
+    roots = staged(components(fps, radius).filter("fp = root_fp").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_keep")), "roots")
+    own = fps.join(roots, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_keep")))
+    first = staged(own.groupBy("_fp", "_keep").agg(F.count("*").alias("_n")), "kept")
+    name = "_fingerprint"
+    while name in docs.columns:
+        name += "_"
     cols = [F.col(f"d.`{c}`") for c in docs.columns]
     # texts are dealt out once and not sorted: the side of the ids is hashed
-    got = docs.alias("d").join(first.alias("k").hint("shuffle_hash"), F.col("d.doc_id").eqNullSafe(F.col("k._keep")))
+    same = (F.col(f"d.{name}") == F.col("k._fp")) & F.col("d.doc_id").eqNullSafe(F.col("k._keep"))
+    got = with_fingerprints(docs, name, words).alias("d").join(first.alias("k").hint("shuffle_hash"), same)
     once = got.filter("k._n = 1").select(*cols)
     if first.filter("_n > 1").isEmpty():
         return once
-    # rows that repeat an id: one of them stays
+    # rows that repeat an id and a fingerprint: one of them stays
     row = F.first(F.struct(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])).alias("row")
-    again = got.filter("k._n > 1").groupBy(F.col("k._keep")).agg(row).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    again = got.filter("k._n > 1").groupBy(F.col("k._fp"), F.col("k._keep")).agg(row).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     return once.unionByName(again)

@@ -3,7 +3,7 @@ import random
 
 from test_llm import LABELS, frame
 
-from graphloom.llm import licenses, quality_rules, toxicity
+from graphloom.llm import licenses, quality_rules, simhash, toxicity
 from graphloom.llm.common import crc_fold
 
 
@@ -51,3 +51,11 @@ def test_notices_over_any_lines_of_a_paragraph():
     narrow = "Intro line\n" + licenses.TEMPLATES["MIT"].replace(" ", "\n") + "\nafter\n\nAll rights reserved."
     assert [(n["licence"], n["missing"], n["more"]) for n in own.notices(narrow)] == [("MIT", 0, 0), ("All-rights-reserved", 0, 0)]
     assert own.notices("This Source Code Form is subject to the terms of the Mozilla Public\n\nLicense, v. 2.0.") == []
+
+
+def test_null_and_repeated_ids_lose_rows_of_their_component_only(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (7, d), (7, e), (7, a), (8, e)]
+    got = simhash.deduplicated(frame(spark, rows, "clash")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (0, b), (0, c), (7, d), (7, e)])
