@@ -238,9 +238,9 @@ def r22_type_lookup(v: Views) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT file_path, name, return_type, row_number() OVER (PARTITION BY file_path ORDER BY start_line, node_id) AS k FROM symbols WHERE is_exported AND return_type IS NOT NULL AND strlen(return_type) <= 256)
-SELECT file_path, name, arg_max(return_type, k) AS return_type FROM r WHERE k <= 20 GROUP BY file_path, name""")
+SELECT file_path, name, arg_max(return_type, k) AS return_type FROM r WHERE k <= 500 GROUP BY file_path, name""")
 def r23_exported_types(v: Views) -> DataFrame:
-    return resolve.exported_types(v.symbols, most=20)
+    return resolve.exported_types(v.symbols)
 
 
 _ROUND = """t{k} AS (SELECT scope, variable, arg_max(t, (ordinal, t)) AS type_name FROM (SELECT a.scope, a.variable, a.ordinal, CASE WHEN a.kind IN ('Constructor', 'TypeAnnotation') THEN a.source WHEN a.kind = 'FunctionCall' THEN coalesce(f.t, e.type_name, o.type_name) ELSE coalesce(e.type_name, o.type_name) END AS t
