@@ -201,12 +201,12 @@ def test_decontamination_cases(spark):
     items = [(k, " ".join(word(rng.choice([0, 1, 2, 3, 9, 10, 11, 14])))) for k in range(12)] + [(20, None), (21, "..."), (None, "zz zz zz zz zz zz zz zz zz zz"), (5, "É x"), (9, "É x")]
     docs = [(k, rng.choice([" ", "-", "\n"]).join(word(rng.randint(0, 40)))) for k in range(60)] + [(100, None), (101, "é É X"), (102, "zz " * 30), (102, "zz " * 30), (103, "q " * 20_000 + "zz " * 10)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (1 << 24, 40):
-        got = decontam.contamination(frame(spark, docs, "clash"), bench, window=10, block_bytes=block).collect()
+    for block in (1 << 24, 40 * decontam.TABLE_FACTOR):
+        got = decontam.contamination(frame(spark, docs, "clash"), bench, window=10, table_bytes=block).collect()
         assert len(got) == len(docs)
         want = {i: slow_hits(t, items, 10) for i, t in docs}
         assert {r.doc_id: (r.n_words, r.n_hit, list(r.items)) for r in got} == want
-        clean = decontam.clean_only(frame(spark, docs, "clash"), bench, block_bytes=block)
+        clean = decontam.clean_only(frame(spark, docs, "clash"), bench, table_bytes=block)
         assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, t in docs if not want[i][1])
     assert {r.n_hit for r in decontam.contamination(frame(spark, docs), bench.limit(0)).collect()} == {0}
     assert decontam.contamination(frame(spark, docs).limit(0), bench).count() == 0
