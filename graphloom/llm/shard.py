@@ -4,8 +4,8 @@ Equal texts are an atomic group. A group that alone is over an equal share of wh
 own, so that it doesn't set the capacity of the others. The other groups stand in the order of a 64-bit hash of their text, and the
 smallest capacity is found, by binary search, with which a greedy walk over them needs no more
 than the wanted number of shards. The driver holds the sizes of `buckets` equal ranges of the
-hash only; a walk looks into the few buckets in which a cut lies, and these are fetched as group
-sizes when first needed. Cuts are hashes, so a row's shard is an expression. Slots come from a
+hash only, and of `buckets` parts of each range in which a cut of the search lies, down to single groups: some thousands of
+numbers for each cut that is tried, however many groups there are. Cuts are hashes, so a row's shard is an expression. Slots come from a
 range sort by hash and id, which splits a hot group, and counts of its partitions.
 
 Defined results: null texts count as empty. Repeated rows each get a slot of their own. With fewer
@@ -14,6 +14,7 @@ groups than shards, shards stay empty. Other columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -25,53 +26,67 @@ SHARDS, BUCKETS = 16, 1 << 12
 
 
 class Line:
-    """Ordered group sizes, of which the driver holds sums by bucket, and groups only where a cut falls."""
-
-    def __init__(self, sums: dict[int, int], fetch):
-        self.fetch = fetch
-        self.order = sorted(sums)
-        self.ends = list(accumulate(sums[b] for b in self.order))
-        self.inside: dict[int, tuple[list[int], list[int]]] = {}  # bucket -> running sums, hashes
-
-    @property
-    def total(self) -> int:
-        return self.ends[-1] if self.ends else 0
-
-    def last_within(self, limit: int, step: int) -> tuple[int, int | tuple | None]:
-        """The largest sum of a prefix of whole groups that is at most `limit`, and what ends it: the
-        hash of its last group, ("end", k) for the end of the bucket before the k-th, None at the line's end."""
-        k = bisect_right(self.ends, limit)
-        if k == len(self.order):
-            return self.total, None
-        before = self.ends[k - 1] if k else 0
-        if self.order[k] not in self.inside:
-            # with it, those in which the later cuts will most likely fall
-            later = {min(bisect_right(self.ends, x), len(self.order) - 1) for x in range(limit, self.total, step)}
-            wanted = {self.order[x] for x in later | {k}} - self.inside.keys()
-            for bucket, rows in self.fetch(sorted(wanted)).items():
-                self.inside[bucket] = (list(accumulate(s for _, s in rows)), [h for h, _ in rows])
-        sums, hashes = self.inside[self.order[k]]
-        n = bisect_right(sums, limit - before)
-        return (before + sums[n - 1], hashes[n - 1]) if n else (before, ("end", k))
-
-    def cuts(self, capacity: int, shards: int) -> list | None:
-        """What ends each shard but the last, greedily; None if the groups don't fit."""
+    """Ordered group sizes, seen through sums over equal ranges of the hash: 2**step ranges for the whole line, and
+    as many again for a range, when a cut falls in it and it holds more than one group.
+
+    fetch(level, prefixes) -> {prefix: [(range, bytes, groups)]}, the ranges in order. A range is the
+    hash shifted right by 64 - step * (level + 1); a prefix, by 64 - step * level.
+    """
+
+    def __init__(self, step: int, fetch):
+        self.step, self.fetch = step, fetch
+        self.known: dict[tuple[int, int], tuple[list[int], list[int], list[int]]] = {}
+        _, sums, _ = self.ranges(0, 0)
+        self.total = sums[-1] if sums else 0
+
+    def shift(self, level: int) -> int:
+        return max(0, 64 - self.step * level)
+
+    def ranges(self, level: int, prefix: int, later: range = range(0)) -> tuple[list[int], list[int], list[int]]:
+        """The ranges of a node: their numbers, running sums of bytes, groups. Those of the line in which the sums `later` lie come along."""
+        if (level, prefix) not in self.known:
+            wanted = {prefix}
+            if level == 1:
+                numbers, sums, groups = self.known[0, 0]
+                near = {min(bisect_right(sums, x), len(sums) - 1) for x in later}
+                wanted |= {numbers[k] for k in near if groups[k] > 1 and (1, numbers[k]) not in self.known}
+            for p, rows in self.fetch(level, sorted(wanted)).items():
+                self.known[level, p] = ([r[0] for r in rows], list(accumulate(r[1] for r in rows)), [r[2] for r in rows])
+        return self.known[level, prefix]
+
+    def last_within(self, limit: int, stride: int) -> tuple[int, int | None]:
+        """The largest sum of a prefix of whole groups that is at most `limit`, and the least hash
+        that may follow it; None at the line's end. stride: where further limits may be expected."""
+        level, prefix, before = 0, 0, 0
+        while True:
+            numbers, sums, groups = self.ranges(level, prefix, range(limit, self.total, max(1, stride)))
+            k = bisect_right(sums, limit - before)
+            if k == len(numbers):
+                return self.total, None  # only of the whole line
+            before += sums[k - 1] if k else 0
+            if groups[k] == 1 or not self.shift(level + 1):
+                return before, numbers[k] << self.shift(level + 1)
+            level, prefix = level + 1, numbers[k]
+
+    def cuts(self, capacity: int, shards: int) -> list[int] | None:
+        """The least hash of each shard but the first, greedily; None if the groups don't fit."""
         out, at = [], 0
         for _ in range(shards - 1):
-            at, last = self.last_within(at + capacity, capacity)
-            if last is None:
+            at, after = self.last_within(at + capacity, capacity)
+            if after is None:
                 return out
-            out.append(last)
+            out.append(after)
         return out if self.total - at <= capacity else None
 
     def coarse(self, capacity: int, shards: int) -> bool:
-        """Whether whole buckets fit, greedily; then groups do, too."""
+        """Whether whole ranges of the line fit, greedily; then groups do, too."""
+        numbers, sums, _ = self.ranges(0, 0)
         at = 0
         for _ in range(shards):
-            k = bisect_right(self.ends, at + capacity)
-            if k == len(self.order):
+            k = bisect_right(sums, at + capacity)
+            if k == len(numbers):
                 return True
-            at = self.ends[k - 1] if k else 0
+            at = sums[k - 1] if k else 0
         return False
 
 
@@ -83,7 +98,7 @@ def least(low: int, high: int, fits) -> int:
 
 
 def smallest_capacity(line: Line, largest: int, shards: int) -> int:
-    """Binary search, over whole buckets first to narrow it down, then over groups."""
+    """Binary search, over whole ranges first to narrow it down, then over groups."""
     low = max(largest, -(-line.total // shards))
     high = least(low, max(line.total, low), lambda c: line.coarse(c, shards))
     return least(low, high, lambda c: line.cuts(c, shards) is not None)
@@ -109,27 +124,32 @@ def shards(docs: DataFrame, n: int = SHARDS, buckets: int = BUCKETS, id_col: str
     )
     if buckets & (buckets - 1):
         raise ValueError("buckets is a power of two")
-    bits = buckets.bit_length() - 1
-    bucket = F.shiftright("h", 64 - bits)
-    groups = staged(rows.groupBy("h").agg(F.sum("size").alias("bytes")).withColumn("b", bucket).repartitionByRange("h").sortWithinPartitions("h"), "groups")
+    step = buckets.bit_length() - 1
+    groups = staged(rows.groupBy("h").agg(F.sum("size").alias("bytes")).repartitionByRange("h").sortWithinPartitions("h"), "groups")
     own = alone([(r[0], r[1]) for r in groups.orderBy(F.desc("bytes"), "h").limit(n).collect()], groups.agg(F.sum("bytes")).first()[0] or 0, n)
     rest = n - len(own)
     if own:
         groups = groups.filter(~F.col("h").isin(own))
-    sums = groups.groupBy("b").agg(F.sum("bytes"), F.max("bytes")).collect()  # at most `buckets` rows
 
-    def fetch(wanted: list[int]) -> dict[int, list[tuple[int, int]]]:
-        got: dict[int, list[tuple[int, int]]] = {b: [] for b in wanted}
-        for b, h, size in groups.filter(F.col("b").isin(wanted)).select("b", "h", "bytes").collect():
-            got[b].append((h, size))
-        return {b: sorted(x) for b, x in got.items()}
-
-    line = Line({r[0]: r[1] for r in sums}, fetch)
-    capacity = smallest_capacity(line, max((r[2] for r in sums), default=0), rest)
+    def fetch(level: int, prefixes: list[int]) -> dict[int, list[tuple[int, int, int]]]:
+        """`buckets` rows for each prefix at most."""
+        inside = groups
+        if level:
+            up = max(0, 64 - step * level)
+            # a range of hashes, so that the scan skips what lies outside
+            inside = groups.filter(reduce(lambda a, b: a | b, [F.col("h").between(p << up, (p << up) + (1 << up) - 1) for p in prefixes]))
+        prefix = F.shiftright("h", max(0, 64 - step * level)) if level else F.lit(0)
+        down = F.shiftright("h", max(0, 64 - step * (level + 1)))
+        got: dict[int, list[tuple[int, int, int]]] = {p: [] for p in prefixes}
+        for p, child, size, count in inside.groupBy(prefix.cast("long").alias("p"), down.alias("c")).agg(F.sum("bytes"), F.count("*")).collect():
+            got[p].append((child, size, count))
+        return {p: sorted(x) for p, x in got.items()}
+
+    line = Line(step, fetch)
+    capacity = smallest_capacity(line, groups.agg(F.max("bytes")).first()[0] or 0, rest)
     shard = F.lit(0)
-    for cut in (line.cuts(capacity, rest) or []) if sums else []:
-        after = bucket > line.order[cut[1] - 1] if isinstance(cut, tuple) else F.col("h") > cut
-        shard = shard + after.cast("int")
+    for cut in line.cuts(capacity, rest) or []:
+        shard = shard + (F.col("h") >= cut).cast("int")
     for k, h in enumerate(own):
         shard = F.when(F.col("h") == h, rest + k).otherwise(shard)
     order = ["shard", "h", "doc_id"]
