@@ -65,7 +65,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if _DIGIT.search(text) is None:
         return out
     if "." in text:
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) < 3 or (len(p) == 3 and p <= "255") for part in m.groups())]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -136,21 +136,21 @@ _SHAPE = bytes(100 if 48 <= b <= 57 else 88 if 65 <= b <= 90 else 120 if 97 <= b
 _LINES = re.compile(rb"[^\n]+")
 _WORDS = re.compile(rb"[^ ]+")
 _RUN_X, _RUN_D = re.compile(rb"x+"), re.compile(rb"d{6,}")
-_EDGE = re.compile(rb"^([\"'\[{<]*)(.*?)([.,;:!?\"'\]}>]*)$", re.S)
+_HEAD, _TAIL = b"\"'[{<", b".,;:!?\"']}>"
 
 
 def shape_features(shape: bytes) -> tuple[str, ...]:
     """The features of a word by its raw shape; the first is what its neighbours see."""
-    if len(shape) > 64:
-        return ("class=long",)
-    _, core, tail = _EDGE.match(shape).groups()
+    inner = shape.lstrip(_HEAD)
+    core = inner.rstrip(_TAIL)
+    tail = inner[len(core) : len(core) + 1]
     core = _RUN_X.sub(b"x", core)
     digits = core.count(b"d")
     if not digits:
         kind = "class=word" if core.strip(b"xX") == b"" else "class=mixed"
-        return (kind, "tail=" + tail[:1].decode())
+        return (kind, "tail=" + tail.decode())
     short = _RUN_D.sub(lambda m: b"D" if len(m[0]) > 12 else b"d" * 6, core).decode()
-    return (f"shape={short}", f"digits={min(digits, 20)}", "tail=" + tail[:1].decode(), "class=digits" if core.strip(b"d") == b"" else "class=digit-mixed")
+    return (f"shape={short}", f"digits={min(digits, 20)}", "tail=" + tail.decode(), "class=digits" if core.strip(b"d") == b"" else "class=digit-mixed")
 
 
 def labels_of(kinds: tuple[str, ...] = CRF_KINDS) -> list[str]:
@@ -258,7 +258,8 @@ def train(table: str = LABELLED, kinds: tuple[str, ...] = CRF_KINDS, steps: int
 class Tagger:
     """Decodes lines with one CRF; the rows of each raw shape are kept."""
 
-    KEEP = 100_000
+    #: Shapes that are remembered, and the bytes of the longest (a longer one is computed each time).
+    KEEP, KEEP_SHAPE = 100_000, 64
 
     def __init__(self, crf: CRF):
         import numpy as np
@@ -279,7 +280,8 @@ class Tagger:
         self.now.append(self.around[own].sum(0) if own else np.zeros(self.n_labels, np.float32))
         self.before.append(before)
         self.after.append(after)
-        self.known[shape] = len(self.now) - 1
+        if len(shape) <= self.KEEP_SHAPE:
+            self.known[shape] = len(self.now) - 1
         return len(self.now) - 1
 
     def decode(self, lines: list[list[bytes]]) -> list[tuple[int, list[int]]]:
@@ -288,7 +290,7 @@ class Tagger:
 
         if not lines:
             return []
-        if len(self.known) > self.KEEP:
+        if len(self.now) > self.KEEP:
             self.known.clear()
             self.now.clear(), self.before.clear(), self.after.clear()
         get, number = self.known.get, self.number
