@@ -1,10 +1,10 @@
 """Licence notices found by exact wording around each cue and by conditional compression.
 
 A word that speaks of licensing is a cue. Around each cue, each template has a window of twice its words on both sides, within
-the same paragraph's lines; where the window has enough of the template's words at all, exact wording decides: the words
-of the template that the window lacks, and the words in between, are counted by matching blocks, and the
-notice counts if few enough are missing and the cue lies in it. The notice with the most words of its template stays;
-ties go by the bytes that zstandard saves with the template as a raw dictionary. The search goes on after its last word.
+the same paragraph's lines. The templates whose words the window has in sufficient number are candidates, ranked by the bytes that
+zstandard saves on the window with the template as a raw dictionary. In that order, without a limit, exact wording decides: the words
+of the template that the window lacks, and the words in between, are counted by matching blocks, and the first template of which few
+enough are missing, with the cue in the notice, is the winner. The search goes on after its last word.
 
 Defined results: null and empty texts have no notices; rows come back one for one; other columns are
 ignored. Positions are code points of the notice with the punctuation that follows it, ends exclusive.
@@ -29,9 +29,16 @@ TEMPLATES = {
     "MIT-short": "Released under the MIT License.",
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "GPL-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -83,7 +90,7 @@ class Matcher:
         self.given = [z.ZstdCompressor(level=settings.level, dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress for t in templates.values()]
 
     def saving(self, notice: bytes, template: int) -> int:
-        """Bytes that the template as a dictionary saves."""
+        """Bytes of a window that the template as a dictionary saves."""
         return len(self.plain(notice)) - len(self.given[template](notice))
 
     def confirm(self, block: list[str], template: int) -> tuple[int, int, int, int] | None:
@@ -100,24 +107,24 @@ class Matcher:
         return len(self.words[template]) - same, end - start - same, start, end
 
     def best(self, text: str, found: list[tuple[int, int]], own: list[str], cue: int, first: int) -> dict | None:
-        """The confirmed notice around the word `cue`, from the word `first` on, that has the most words of its template. found: the words' positions."""
-        out = []
+        """The notice around the word `cue`, from the word `first` on: of the candidate templates, ranked by the bytes that each saves on its
+        window, the first whose wording is confirmed. found: the words' positions."""
+        ranked = []
         for k, want in enumerate(self.words):
-            n = len(want)
-            low = max(first, cue - 2 * n)
-            block = own[low : cue + 2 * n + 1]
-            if (Counter(block) & self.bags[k]).total() < self.settings.least_share * n:
-                continue
+            low = max(first, cue - 2 * len(want))
+            block = own[low : cue + 2 * len(want) + 1]
+            if (Counter(block) & self.bags[k]).total() >= self.settings.least_share * len(want):
+                window = text[found[low][0] : found[low + len(block) - 1][1]]
+                ranked.append((-self.saving(window.encode(), k), k, low, block))
+        for saved, k, low, block in sorted(ranked, key=lambda r: r[:2]):
+            n = len(self.words[k])
             if (got := self.confirm(block, k)) is None:
                 continue
             missing, more, a, b = got
             if n - missing >= self.settings.least_share * n and more <= n and low + a <= cue < low + b:
                 start, end = found[low + a][0], _TAIL.match(text, found[low + b - 1][1]).end()
-                out.append((n - missing, -more, self.saving(text[start:end].encode(), k), -k, missing, start, end))
-        if not out:
-            return None
-        _, more, saving, k, missing, start, end = max(out)
-        return {"licence": self.names[-k], "start": start, "end": end, "saving": saving, "missing": missing, "more": -more}
+                return {"licence": self.names[k], "start": start, "end": end, "saving": -saved, "missing": missing, "more": more}
+        return None
 
     def notices(self, text: str | None) -> list[dict]:
         """The notices of a text, one after the other: what lies in one begins no other."""
