@@ -6,13 +6,14 @@ p R+(positives) + max(0, R-(unlabelled) - p R-(positives)): the negative part is
 prior, and where it falls under zero (overfitting) a step goes the other way.
 
 Features of a text, each counted once: its words (runs of letters, lower case) and the first four
-and five letters of longer words, hashed to `dims` places. The texts trained on are a sample of
-the labelled rows of the training folds, `max_positive` and `max_unlabelled` at most (by a hash of the
-id); only their hashed features reach the driver. Every document is scored.
+and five letters of longer words, hashed to `dims` places. Positives are labelled rows of the training folds, `max_positive`
+at most; the unlabelled texts are documents of these folds, whether they have a label or not, `max_unlabelled`
+at most (both the first by a hash of the id). Only their hashed features reach the driver. Every document is scored.
 
 Defined results: null and empty texts get the model's intercept; without a positive label in the training folds
 every score is the prior (0 without labels). Labels that are null or repeated: any 1 makes a
-document positive. Documents come back one for one; other columns are ignored.
+document positive. Of several texts with one id the greatest is trained on. Documents come back one for one; other
+columns are ignored.
 """
 from __future__ import annotations
 
@@ -67,7 +68,7 @@ class Hasher:
         for w in set(self.find((text or "").lower())):
             got = known.get(w)
             if got is None:
-                got = self.places(w[:64])
+                got = self.places(w)
                 if len(known) < self.KEEP and len(w) <= 24:
                     known[w] = got
             out.update(got)
@@ -143,7 +144,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     prior = settings.prior if settings.prior is not None else (toxic or 0) / n if n else 0.0
     order = [F.xxhash64("doc_id"), "doc_id"]
     positive = known.filter("toxic > 0").orderBy(*order).limit(settings.max_positive).select("doc_id", F.lit(1).alias("kind"))
-    anything = known.orderBy(*order).limit(settings.max_unlabelled).select("doc_id", F.lit(0).alias("kind"))
+    ids = id_and_text(docs).select("doc_id").filter(fold_of(F.col("doc_id"), FOLDS) != 0)
+    anything = ids.distinct().orderBy(*order).limit(settings.max_unlabelled).select("doc_id", F.lit(0).alias("kind"))
     chosen = [(r[0], r[1]) for r in positive.unionByName(anything).collect()]  # bounded by the two settings
     if not chosen:
         return [], [], prior
@@ -151,7 +153,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     for doc, kind in chosen:
         kinds.setdefault(doc, []).append(kind)
     told = session_of(docs).createDataFrame([(d,) for d in kinds], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
-    wanted = id_and_text(docs).join(F.broadcast(told), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = id_and_text(docs).join(F.broadcast(told), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     dims = settings.dims
 
     def run(batches: Iterator) -> Iterator:
