@@ -1,16 +1,17 @@
 """Quality by co-training of a content view and a metadata view.
 
 One logistic classifier sees statistics of the text, another the page's metadata only (language, source, the
-recorded length). Each starts from the same labelled seed. In each round, each marks the texts of a pool
-that it is surest of, and gives them with these labels to the other. At the end both are calibrated on the seed (Platt), and
-a logistic combination of the calibrated views scores every document.
+recorded length). Each starts from the same labelled seed. In each round, each marks the texts of a pool without labels
+that it is surest of, and gives them with these labels to the other. At the end both are calibrated (Platt) on labelled rows
+that neither was trained on, and a logistic combination of the calibrated views scores every document.
 
-Seed and pool are the labelled rows of the training folds, `max_labelled` at most (by a hash of the
-id); the labels of the pool are not looked at. Only their statistics reach the driver.
+Seed and calibration rows are labelled rows of the training folds, `max_labelled` at most; the pool is documents of these folds
+without a label, `max_pool` at most (all the first by a hash of the id). Only their statistics reach the driver.
 
 Defined results: null and empty texts have statistics of zero; unknown languages and sources weigh nothing.
-Without labels of both kinds every score is the share of good ones (0.5 without labels). Repeated
-labels: the highest counts. Documents come back one for one; other columns are ignored.
+Without labels of both kinds every score is the share of good ones (0.5 without labels); too few calibration rows, or of
+one kind, leave calibration to the seed. Repeated labels: the highest counts. Of several rows with one id the greatest is trained on.
+Documents come back one for one; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -28,8 +29,10 @@ FOLDS = 5
 @dataclass(frozen=True)
 class Settings:
     max_labelled: int = 8_000
-    seed_share: float = 0.5
+    max_pool: int = 8_000
+    seed_share: float = 0.6  # the other labelled rows calibrate
     rounds: int = 5
+    least_fresh: int = 40  # calibration rows, at least
     each: int = 200  # texts of each label that a view passes on in a round, at most
     sure: float = 0.95
     steps: int = 300
@@ -146,13 +149,19 @@ def metadata(rows: list[tuple], langs: list[str], sources: list[str]):
 
 
 def cotrain(content, meta_rows: list[tuple], y, settings: Settings = Settings(), most_names: int = 64) -> Model:
-    """content: array of statistics; meta_rows: (lang, source, n_chars); y: 0 or 1. The first `seed_share` are the seed."""
+    """content: array of statistics; meta_rows: (lang, source, n_chars); y: 0, 1, or None for rows of the pool.
+
+    Of the labelled rows, in their order, the first `seed_share` are the seed.
+    """
     import numpy as np
 
-    y = np.asarray(y, float)
-    n_seed = max(2, int(len(y) * settings.seed_share))
-    if len(y) < 4 or len(set(y[:n_seed])) < 2:
-        p = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
+    told_rows = [k for k, v in enumerate(y) if v is not None]
+    rest = [k for k, v in enumerate(y) if v is None]
+    content, meta_rows = [content[k] for k in told_rows + rest], [meta_rows[k] for k in told_rows + rest]
+    n_told, y = len(told_rows), np.array([y[k] for k in told_rows], float)
+    n_seed = max(2, int(n_told * settings.seed_share))
+    if n_told < 4 or len(set(y[:n_seed])) < 2:
+        p = float(np.clip(y.mean() if n_told else 0.5, 0.01, 0.99))
         return Model([], [], [], None, float(np.log(p / (1 - p))))
 
     def common(k):
@@ -168,7 +177,7 @@ def cotrain(content, meta_rows: list[tuple], y, settings: Settings = Settings(),
     # what each view learns from: the seed, and what the other has passed on
     rows = [list(range(n_seed)), list(range(n_seed))]
     told = [list(y[:n_seed]), list(y[:n_seed])]
-    pool = [set(range(n_seed, len(y))), set(range(n_seed, len(y)))]  # what each view may still be given
+    pool = [set(range(n_told, len(content))) for _ in (0, 1)]  # what each view may still be given
     views = []
     for _ in range(settings.rounds):
         views = [fit_view(inputs[v][rows[v]], np.array(told[v]), settings) for v in (0, 1)]
@@ -191,11 +200,12 @@ def cotrain(content, meta_rows: list[tuple], y, settings: Settings = Settings(),
         if not passed:
             break
     views = [fit_view(inputs[v][rows[v]], np.array(told[v]), settings) for v in (0, 1)]
+    fresh = slice(n_seed, n_told) if n_told - n_seed >= settings.least_fresh and len(set(y[n_seed:])) > 1 else slice(0, n_seed)
     for v in (0, 1):
-        slope, offset = logistic(views[v].raw(inputs[v][:n_seed])[:, None] / 4, y[:n_seed], settings)
+        slope, offset = logistic(views[v].raw(inputs[v][fresh])[:, None] / 4, y[fresh], settings)
         views[v].slope, views[v].offset = float(slope[0]) / 4, offset
-    both = np.stack([views[v].logit(inputs[v][:n_seed]) for v in (0, 1)], axis=1)
-    mix, bias = logistic(np.clip(both, -8, 8) / 4, y[:n_seed], settings)
+    both = np.stack([views[v].logit(inputs[v][fresh]) for v in (0, 1)], axis=1)
+    mix, bias = logistic(np.clip(both, -8, 8) / 4, y[fresh], settings)
     return Model(langs, sources, views, mix / 4, bias)
 
 
@@ -207,14 +217,20 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[list, list, list]:
+    """Statistics, metadata and labels (None in the pool) of the sampled rows, in the order of the ids' hashes."""
     small_batches(session_of(docs))
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").alias("quality")).filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.filter(fold_of(F.col("doc_id"), FOLDS) != 0).orderBy(*order).limit(settings.max_labelled).collect()
+    in_folds = fold_of(F.col("doc_id"), FOLDS) != 0
+    sample = known.filter(in_folds).orderBy(*order).limit(settings.max_labelled).collect()
     if not sample:
         return [], [], []
-    wanted = session_of(docs).createDataFrame([(r[0], int(r[1] > 0)) for r in sample], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int")
-    rows = _columns(docs).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
+    own = _columns(docs)
+    unlabelled = own.select("doc_id").filter(in_folds).distinct().join(known, "doc_id", "left_anti").orderBy(*order).limit(settings.max_pool).collect()
+    chosen = [(r[0], int(r[1] > 0)) for r in sample] + [(r[0], None) for r in unlabelled]  # bounded by the two settings
+    wanted = session_of(docs).createDataFrame(chosen, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int")
+    row = F.max(F.struct("text", "lang", "source", "n_chars")).alias("r")
+    rows = own.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "quality").agg(row).select("doc_id", "r.*", "quality")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -535,7 +535,8 @@ def test_cotraining_passes_labels_on():
     y = rng.integers(0, 2, 600)
     content = np.stack([y * 4 - 2 + rng.normal(0, 0.5, 600)] + [rng.normal(0, 1, 600) for _ in range(3)], axis=1)
     meta = [(f"l{rng.integers(0, 3)}", f"s{int(rng.integers(0, 20)) * 2 + int(v)}", 10) for v in y]
-    model = quality.cotrain(content, meta, y, quality.Settings(seed_share=0.05))
+    told = [int(v) if k < 50 else None for k, v in enumerate(y)]
+    model = quality.cotrain(content, meta, told, quality.Settings(seed_share=0.6))
     seen = quality.metadata(meta, model.langs, model.sources)
     assert ((quality.sigmoid(model.views[1].raw(seen)) > 0.5) == y).mean() > 0.9
 

@@ -1,9 +1,10 @@
 """The text operators look at the whole of each text."""
 import random
+import time
 
-from test_llm import LABELS, frame
+from test_llm import LABELS, frame, learning_rows, slow_hits
 
-from graphloom.llm import licenses, quality_rules, simhash, toxicity
+from graphloom.llm import decontam, licenses, pii, quality, quality_rules, simhash, toxicity
 from graphloom.llm.common import crc_fold
 
 
@@ -59,3 +60,47 @@ def test_null_and_repeated_ids_lose_rows_of_their_component_only(spark):
     rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (7, d), (7, e), (7, a), (8, e)]
     got = simhash.deduplicated(frame(spark, rows, "clash")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (0, b), (0, c), (7, d), (7, e)])
+
+
+def test_long_numbers_and_words_in_personal_data():
+    assert pii.base_spans("0" * 5000 + "1.1.1.1") == [("ip", 0, 5007)]
+    assert pii.base_spans("9" * 5000 + ".1.1.1 and 000255.0.00.1 but 256.1.1.1") == [("ip", 5011, 5024)]
+    tail = "x" * 100 + "."
+    assert pii.shape_features(tail.encode().translate(pii._SHAPE)) == pii.shape_features(b"xx.")
+    digits = pii.shape_features(b"d" * 100)
+    assert digits == ("shape=D", "digits=20", "tail=", "class=digits")
+
+
+def test_words_with_a_long_beginning_in_common_are_two():
+    own = toxicity.Hasher(toxicity.DIMS)
+    a, b = (set(own.of("a" * 64 + end)) for end in "bc")
+    assert a != b and len(a & b) == 2
+
+
+def test_unlabelled_documents_are_learnt_from(spark):
+    docs, labels = learning_rows(400)
+    told = spark.createDataFrame(labels[:150], LABELS)
+    _, unlabelled, _ = toxicity.training_rows(frame(spark, docs), told)
+    assert len(unlabelled) == sum(crc_fold(i) != 0 for i, _ in docs)
+    _, _, kinds = quality.training_rows(frame(spark, docs), told)
+    assert kinds.count(None) == sum(crc_fold(i) != 0 for i, _ in docs[150:])
+    assert len(kinds) - kinds.count(None) == sum(crc_fold(i) != 0 for i, _ in docs[:150])
+
+
+def test_benchmark_tables_are_built_once(spark):
+    """Three passes cost no more than three searches and three builds, however many batches there are."""
+    rng = random.Random(4)
+    some = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(20_000)]
+    line = lambda n: " ".join(rng.choice(some) for _ in range(n))
+    items = [(k, line(2000)) for k in range(200)]
+    docs = [(k, line(60) if k % 50 else items[k % 200][1][300:500] + " " + line(20)) for k in range(3000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    seconds, rows = [], []
+    for n in (1, 3):
+        began = time.time()
+        rows.append(sorted(map(str, decontam.contamination(frame(spark, docs).repartition(2), bench, table_bytes=size * decontam.TABLE_FACTOR // n + 1).collect())))
+        seconds.append(time.time() - began)
+    assert rows[0] == rows[1] and sum("n_hit=0" not in r for r in rows[0]) == 60
+    assert seconds[1] < 3 * seconds[0] + 20
+    assert slow_hits(docs[50][1], items[:1] + items[50:51], 10)[1] > 10
