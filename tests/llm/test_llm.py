@@ -137,8 +137,67 @@ def test_simhash_odd_rows(spark):
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     assert sorted(map(repr, ((r.doc_id, r.fp, r.component_id) for r in got))) == sorted(map(repr, ((i, signed(f), want[f]) for i, f in fps)))
     assert simhash.near_duplicates(frame(spark, ODD).limit(0)).count() == 0
-    kept = simhash.deduplicated(frame(spark, ODD, "clash")).collect()
-    assert sorted(r.doc_id or 0 for r in kept) == sorted({v or 0 for v in want.values()})
+
+
+def shingles(text, words=5):
+    own = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+    return {tuple(own[k : k + words]) for k in range(len(own) - words + 1)} or {tuple(own)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def slow_groups(rows, least=0.8):
+    """Row numbers to the first row (by id, null last) that similar rows lead to; rows: (id, text)."""
+    sets = [shingles(t) for _, t in rows]
+    top = list(range(len(rows)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    where = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(k)
+    for k, s in enumerate(sets):
+        for j in {j for x in s for j in where[x] if j < k}:
+            if jaccard(sets[j], s) >= least:
+                top[find(k)] = find(j)
+    order = lambda k: (rows[k][0] is None, rows[k][0] or 0, k)
+    first = {}
+    for k in range(len(rows)):
+        r = find(k)
+        first[r] = min(first.get(r, k), k, key=order)
+    return [first[find(k)] for k in range(len(rows))]
+
+
+def test_deduplicated_odd_rows(spark):
+    kept = simhash.deduplicated(frame(spark, ODD, "clash"))
+    assert kept.columns == frame(spark, ODD, "clash").columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((ODD[k][0] is None, ODD[k][0] or 0, ODD[k][1] or "") for k in set(slow_groups(ODD)))
+    assert simhash.deduplicated(frame(spark, ODD).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shard_rows", [5, 4096])
+def test_deduplicated_keeps_one_of_similar_texts(spark, shard_rows):
+    """Copies with few changes go, texts with half of their words in common stay, in shards of any size."""
+    rng = random.Random(11)
+    some = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    line = lambda n: [rng.choice(some) for _ in range(n)]
+    rows = []
+    for g in range(40):
+        words = line(rng.choice([12, 60, 300, 1500]))
+        for c in range(rng.randint(1, 8)):
+            copy = list(words)
+            for _ in range(len(copy) // 120 if c else 0):
+                copy[rng.randrange(len(copy))] = rng.choice(some)
+            rows.append((len(rows), rng.choice([" ", "\n "]).join(copy).title() if c % 2 else " ".join(copy)))
+        rows.append((len(rows), " ".join(words[: len(words) // 2] + line(len(words) // 2 + 1))))
+    got = sorted(r.doc_id for r in simhash.deduplicated(frame(spark, rows), shard_rows=shard_rows).collect())
+    assert got == sorted(set(slow_groups(rows)))
 
 
 @pytest.mark.parametrize("m, shard_rows", [(1, 50_000), (1, 7), (2, 50_000), (3, 5)])
@@ -158,7 +217,7 @@ def test_links_are_complete(spark, m, shard_rows):
     want = slow_components(rows)
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     nodes = spark.createDataFrame([((False, i, signed(f)),) for i, f in rows], "node struct<nil: boolean, id: long, fp: long>")
-    found = simhash.stars(simhash.links(nodes, m, 4, shard_rows)).collect()
+    found = simhash.stars(simhash.links(simhash.by_bits(nodes, m, 4, shard_rows), 4, shard_rows)).collect()
     got = {i: i for i, _ in rows} | {r.v.id: r.root.id for r in found}
     assert got == {i: want[f] for i, f in rows}
 
