@@ -1,13 +1,14 @@
 """Secrets by regular expressions behind a trigram index, in DataFrame expressions only.
 
 From each rule's regex a Boolean query over trigrams is derived: what every match must
-contain. The index has one posting bitmap for each trigram that some rule asks for, laid out by
-rows: bit t of a row's `postings` says that trigram t occurs in its text. So intersecting postings is a bitwise
-AND beside the text, with no shuffle, and no hot trigram gathers rows anywhere. Only rows that pass a
-rule's query are searched with its regex; rules whose query is empty search every row.
+contain. The index is a table of postings (trigram, key of a row) of the trigrams that some rule asks for. Postings are
+merged by key into masks, on which each rule's query is an AND and OR of bits; the keys that pass are the rule's
+candidates. Candidates are joined to the texts (by the candidates' measured size Spark broadcasts them or deals out both sides) and
+searched with the regex; rules whose query is empty search every row, without the index.
 
 Positions: the parts between matches (split by the same regex) and the matches alternate, so a
-running sum of their lengths in code points gives each match's start.
+running sum of their lengths in code points gives each match's start. Sums are made in two steps, so
+that a text with very many matches costs little more than these.
 
 Defined results: null texts count as empty; rows come back one for one; other columns are ignored.
 """
@@ -20,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, staged
 
 
 @dataclass(frozen=True)
@@ -151,7 +152,7 @@ def trigrams(query) -> set[str]:
 
 
 class Plan:
-    """The rules with their queries, and the place of each trigram in the posting words (60 to a word)."""
+    """The rules with their queries, and each trigram's place in a mask of words of 60 bits."""
 
     WORD = 60
 
@@ -159,77 +160,114 @@ class Plan:
         self.rules = rules
         self.queries = [trigram_query(r.regex) for r in rules]
         self.place = {t: i for i, t in enumerate(sorted(set().union(*[trigrams(q) for q in self.queries], set())))}
+        self.words = -(-max(1, len(self.place)) // self.WORD)
 
-    def postings(self, lowered: Column) -> Column:
-        """The array of words of a row: which of the rules' trigrams its text has."""
-        words = []
-        for k in range(0, max(1, len(self.place)), self.WORD):
-            bits = [F.when(F.contains(lowered, F.lit(t)), F.lit(1 << (i - k)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for t, i in self.place.items() if k <= i < k + self.WORD]
-            words.append(reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("bigint")))
-        return F.array(*words)
+    def masks(self, trigram: Column) -> list[Column]:
+        """For each word, the bits of the trigrams that a group of postings has: an aggregate."""
+        at = F.create_map(*[F.lit(x) for t, i in (self.place or {"": 0}).items() for x in (t, i)])[trigram]
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(self.WORD)))
+        zero = F.lit(0).cast("bigint")
+        return [F.bit_or(F.when(F.floor(at / self.WORD) == w, bit).otherwise(zero)).alias(f"m{w}") for w in range(self.words)]
 
-    def passes(self, query, postings: Column) -> Column:
-        """Whether a row's postings satisfy a query: ANDs of trigrams become one mask for each word."""
+    def passes(self, query, masks: list[Column]) -> Column:
+        """Whether the trigrams in the masks satisfy a query."""
         if query[0] == "tri":
-            return self.passes(("and", query), postings)
-        parts = [self.passes(q, postings) for q in query[1:] if q[0] != "tri"]
+            return self.passes(("and", query), masks)
+        parts = [self.passes(q, masks) for q in query[1:] if q[0] != "tri"]
         if query[0] == "or":
-            parts += [self.passes(("and", q), postings) for q in query[1:] if q[0] == "tri"]
+            parts += [self.passes(("and", q), masks) for q in query[1:] if q[0] == "tri"]
             return reduce(lambda a, b: a | b, parts)
-        masks: dict[int, int] = {}
+        wanted: dict[int, int] = {}
         for q in query[1:]:
             if q[0] == "tri":
                 i = self.place[q[1]]
-                masks[i // self.WORD] = masks.get(i // self.WORD, 0) | 1 << (i % self.WORD)
-        parts += [postings[w].bitwiseAND(F.lit(m).cast("bigint")) == F.lit(m).cast("bigint") for w, m in sorted(masks.items())]
+                wanted[i // self.WORD] = wanted.get(i // self.WORD, 0) | 1 << (i % self.WORD)
+        parts += [masks[w].bitwiseAND(F.lit(m).cast("bigint")) == F.lit(m).cast("bigint") for w, m in sorted(wanted.items())]
         return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text (nulls empty), key: rows with one key have, all but surely, one id and text, and where not, a row is verified in vain."""
+    src = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return src.withColumn("key", F.xxhash64("doc_id", "text"))
+
+
 def index(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (nulls empty), postings: the trigram index of the rules, beside the rows it is of."""
-    src = id_and_text(docs, id_col, text_col)
-    return src.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("postings", plan.postings(F.lower("text")))
-
-
-def _spans(rule: Rule, text: Column) -> Column:
-    """array<struct<start, end, group>> of the rule's matches; leftmost, not overlapping."""
-    regex = F.lit(rule.regex)
-    gaps = F.transform(F.split(text, rule.regex, -1), lambda x: F.char_length(x))
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    kept = F.regexp_extract_all(text, regex, F.lit(rule.keep_group)) if rule.keep_group else found
-    # accumulate: each step appends a span that starts a gap after the last one's end
-    spans = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), F.transform(found, lambda x: F.char_length(x)).alias("len"), F.transform(kept, lambda x: F.char_length(x)).alias("kept")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kept:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["len"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end"), x["kept"].alias("kept")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.filter(spans, lambda s: s["kept"] >= rule.keep_chars)
-
-
-def _named(rank: int, kind: str):
-    return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"))
+    """trigram, key: the postings of the trigrams that the rules ask for."""
+    rows = _keyed(docs, id_col, text_col).select("key", F.lower("text").alias("lowered"))
+    has = [F.when(F.contains("lowered", F.lit(t)), F.lit(t)) for t in plan.place]
+    return rows.select(F.explode(F.array_compact(F.array(*has))).alias("trigram"), "key") if has else rows.select(F.lit("").alias("trigram"), "key").limit(0)
+
+
+def candidates(postings: DataFrame, plan: Plan) -> DataFrame:
+    """key, rules: a bit for each rule whose query the key's postings satisfy; keys without any are left out.
+
+    Postings are merged by key, with partial masks before the shuffle, so no posting list is in one place.
+    """
+    met = postings.groupBy("key").agg(*plan.masks(F.col("trigram")))
+    masks = [F.col(f"m{w}") for w in range(plan.words)]
+    zero = F.lit(0).cast("bigint")
+    rules = [F.when(plan.passes(q, masks), F.lit(1 << k).cast("bigint")).otherwise(zero) for k, q in enumerate(plan.queries) if q != ANY]
+    return met.select("key", reduce(lambda a, b: a.bitwiseOR(b), rules, zero).alias("rules")).filter("rules <> 0")
+
+
+def searched(rule: Rule) -> str:
+    """The regex that is searched with. Where a match counts by its length alone, and ends in a run of one class, the least
+    length of the run is in the regex: a shorter run has no longer one in it, so the matches that count are the same."""
+    head = re.fullmatch(r"(\w*)(\[[^\]]*\])\+", rule.regex)
+    if head and rule.keep_chars > len(head[1]) and not rule.keep_group:
+        return f"{head[1]}{head[2]}{{{rule.keep_chars - len(head[1])},}}"
+    return rule.regex
+
+
+#: Lengths that are summed up in one go; sums of such runs are then added, so that no step copies all that is before it.
+RUN = 256
+
+
+def _with_ends(rows: DataFrame, lengths: dict[str, str]) -> DataFrame:
+    """For each column of lengths (name -> new name) an array of running sums."""
+    at = lambda total, out: F.struct(total.alias("total"), out.alias("out"))
+    none = F.array().cast("array<int>")
+
+    def runs(c):
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(c) - 1) / RUN).cast("int"))), lambda k: F.slice(c, k * RUN + 1, RUN))
+        return F.transform(cut, lambda r: F.aggregate(r, at(F.lit(0), none), lambda acc, x: at(acc["total"] + x, F.concat(acc["out"], F.array(acc["total"] + x)))))
+
+    rows = rows.withColumns({f"{new}_runs": runs(old) for old, new in lengths.items()})
+    before = lambda c: F.aggregate(c, at(F.lit(0), none), lambda acc, r: at(acc["total"] + r["total"], F.concat(acc["out"], F.array(acc["total"]))))["out"]
+    rows = rows.withColumns({f"{new}_before": before(f"{new}_runs") for new in lengths.values()})
+    joined = lambda new: F.flatten(F.zip_with(f"{new}_runs", f"{new}_before", lambda r, b: F.transform(r["out"], lambda x: x + b)))
+    return rows.withColumns({new: joined(new) for new in lengths.values()}).drop(*[f"{new}_{x}" for new in lengths.values() for x in ("runs", "before")])
+
+
+def _named(spans: Column, rank: int, rule: Rule) -> Column:
+    """The spans that count, as they are returned."""
+    good = F.filter(spans, lambda s: s["kept"] >= rule.keep_chars)
+    return F.transform(good, lambda s: F.struct((s["end"] - s["len"]).alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, spans array<struct<kind, rank, start, end>> by start, then rule; candidates of each rule are what its query passes."""
+    """doc_id, spans array<struct<start, rank, end, kind>> by start, then rule. A rule is searched for in its candidates; one without a query in every row."""
     plan = Plan(rules)
-    rows = index(docs, plan, id_col, text_col)
-    none = F.array().cast("array<struct<start:int,end:int,kept:int>>")
+    found = staged(candidates(staged(index(docs, plan, id_col, text_col), "postings"), plan), "candidates")
+    rows = _keyed(docs, id_col, text_col).join(found, "key", "left").drop("key")
+    text, size = F.col("text"), lambda c: F.transform(c, lambda x: F.char_length(x))
+    numbers = range(len(rules))
+    tests = [F.rlike(text, F.lit(searched(r))) if q == ANY else F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << k).cast("bigint")) != 0 for k, (r, q) in enumerate(zip(rules, plan.queries, strict=True))]
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({f"found{k}": F.when(tests[k], F.regexp_extract_all(text, F.lit(searched(r)), F.lit(0))).otherwise(none) for k, r in enumerate(rules)})
+    # the parts between matches and the matches alternate; what is asked of is that there is a match
+    some = lambda k, c: F.when(F.size(f"found{k}") > 0, c).otherwise(F.array().cast("array<int>"))
+    lengths = {f"len{k}": size(F.col(f"found{k}")) for k in numbers}
+    gaps = {f"gap{k}": some(k, size(F.split(text, searched(r), -1))) for k, r in enumerate(rules)}
+    kept = {f"kept{k}": some(k, size(F.regexp_extract_all(text, F.lit(r.regex), F.lit(r.keep_group)))) for k, r in enumerate(rules) if r.keep_group}
+    rows = rows.withColumns(lengths | gaps | kept).drop("text", "rules", *[f"found{k}" for k in numbers])
+    rows = rows.withColumns({f"step{k}": F.zip_with(F.slice(f"gap{k}", 1, F.size(f"len{k}")), f"len{k}", lambda g, n: g + n) for k in numbers})
+    rows = _with_ends(rows, {f"step{k}": f"end{k}" for k in numbers})
     each = []
-    for k, (rule, query) in enumerate(zip(rules, plan.queries, strict=True)):
-        sure = rule.regex
-        if rule.keep_chars and not rule.keep_group and rule.regex.endswith("+"):
-            # the class at the end must repeat this often somewhere: a cheap test before positions are taken
-            head = re.sub(r"\[[^\]]*\]\+$", "", rule.regex)
-            sure = rule.regex[:-1] + "{%d,}" % (rule.keep_chars - len(head))
-        has = F.rlike(F.col("text"), F.lit(sure))
-        test = has if query == ANY else plan.passes(query, F.col("postings")) & has
-        found = F.when(test, _spans(rule, F.col("text"))).otherwise(none)
-        each.append(F.transform(found, _named(k, rule.kind)))
+    for k, r in enumerate(rules):
+        spans = F.arrays_zip(F.col(f"end{k}").alias("end"), F.col(f"len{k}").alias("len"), F.col(f"kept{k}" if r.keep_group else f"len{k}").alias("kept"))
+        each.append(_named(spans, k, r))
     return rows.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))
 
 

@@ -1,6 +1,6 @@
 """The pipeline against the same decisions made row by row."""
 import corpus_pipeline
-from test_llm import reference_encoder, slow_components, slow_fingerprint, slow_hits  # noqa: F401
+from test_llm import reference_encoder, slow_groups, slow_hits  # noqa: F401
 
 from graphloom.llm import pii, toxicity
 from graphloom.llm.common import table
@@ -11,9 +11,7 @@ def test_pipeline(spark, tiny, reference_encoder):  # noqa: F811
     model = toxicity.fit(table(spark, tiny, "documents"), table(spark, tiny, "labels"))
     score = toxicity.Scorer([model.dims, model.table(), model.bias])
     left = [(i, t) for i, t in docs if score(t) < 0.5]
-    fps = [(i, slow_fingerprint(t)) for i, t in left]
-    homes = slow_components(fps)
-    left = [(i, t) for (i, t), (_, f) in zip(left, fps, strict=True) if homes[f] == i]
+    left = [left[k] for k in sorted(set(slow_groups(left)))]
     items = [(r.item_id, r.text) for r in table(spark, tiny, "benchmark").collect()]
     left = [(i, t) for i, t in left if not slow_hits(t[:2000], items, 10)[1] and not slow_hits(t, items, 10)[1]]
     tagger = pii.Tagger(pii.train())

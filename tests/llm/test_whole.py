@@ -2,9 +2,9 @@
 import random
 import time
 
-from test_llm import LABELS, frame, learning_rows, slow_hits
+from test_llm import LABELS, frame, learning_rows, slow_hits, slow_secrets, texts  # noqa: F401
 
-from graphloom.llm import decontam, licenses, pii, quality, quality_rules, simhash, toxicity
+from graphloom.llm import decontam, licenses, pii, quality, quality_rules, secrets_scan, simhash, toxicity
 from graphloom.llm.common import crc_fold
 
 
@@ -104,3 +104,92 @@ def test_benchmark_tables_are_built_once(spark):
     assert rows[0] == rows[1] and sum("n_hit=0" not in r for r in rows[0]) == 60
     assert seconds[1] < 3 * seconds[0] + 20
     assert slow_hits(docs[50][1], items[:1] + items[50:51], 10)[1] > 10
+
+
+def test_trigram_index(spark, texts):
+    """Postings are what occurs, and what the index drops has no match."""
+    plan = secrets_scan.Plan()
+    docs = frame(spark, [*texts, (10**6, 'API_Key = "abcdef"'), (10**6 + 1, 'passwor d: abcdef'), (None, 'AKIA' + 'Z' * 16)])
+    key = {r.key: r.text for r in secrets_scan._keyed(docs, "doc_id", "text").collect()}
+    postings = secrets_scan.index(docs, plan)
+    assert {(r.trigram, r.key) for r in postings.collect()} == {(t, k) for k, x in key.items() for t in plan.place if t in x.lower()}
+    rules = {r.key: r.rules for r in secrets_scan.candidates(postings, plan).collect()}
+    for k, text in key.items():
+        found = {rank for _, rank, _, _ in slow_secrets(text)}
+        assert all(rules.get(k, 0) >> rank & 1 for rank in found if plan.queries[rank] != secrets_scan.ANY)
+    assert 0 < len(rules) < len(key)
+
+
+def test_texts_with_very_many_matches(spark):
+    secret = "0123456789abcdef" * 2
+    rows = [(1, "deadbeef cafe " * 300_000 + secret + " end"), (2, "token=abcdefg ; " * 100_000), (3, "é token=a " * 1000 + "AKIA" + "Z" * 30)]
+    began = time.time()
+    got = {r.doc_id: r.spans for r in secrets_scan.scan(frame(spark, rows)).collect()}
+    assert time.time() - began < 60
+    assert [(s.kind, s.start, s.end) for s in got[1]] == [("hex", 4_200_000, 4_200_032)]
+    assert len(got[2]) == 100_000 and all(s.start == 16 * k and s.end == 16 * k + 13 for k, s in enumerate(got[2]))
+    assert [(s.kind, s.start) for s in got[3]] == [("access", 10_000)]
+
+
+def test_band_verdicts_by_hand(texts):
+    """The verdict from the definition: whole texts and chunks, with zstandard's own one-shot function."""
+    import zstandard
+
+    bands = quality_rules.BANDS
+
+    def ratio(data):
+        return len(data) / len(zstandard.ZstdCompressor(level=bands.level, write_content_size=False).compress(data))
+
+    def verdict(text):
+        data = text.encode()
+        low, high = [(a, b) for most, a, b in bands.whole if len(data) <= most][0]
+        if not low <= ratio(data) <= high:
+            return False
+        starts = []
+        if len(data) > 4096:
+            starts = list(range(0, len(data) - 4095, 4096)) + ([len(data) - 4096] if len(data) % 4096 else [])
+        odd = [s for s in starts if not 1.2 <= ratio(data[s : s + 4096]) <= 5.0]
+        return 100 * len(odd) <= 34 * len(starts)
+
+    own = quality_rules.Compressor()
+    rng = random.Random(8)
+    more = ["a" * n for n in (1, 400, 3000, 20_000)] + ["".join(chr(rng.randrange(33, 1000)) for _ in range(n)) for n in (50, 3000, 20_000)] + [texts[0][1] * 3 + "b" * 5000]
+    seen = set()
+    for t in [t for _, t in texts if t] + more:
+        assert own.verdict(t)[2] == verdict(t)
+        seen.add(verdict(t))
+    assert seen == {True, False}
+
+
+def test_crf_recall_on_generated_lines():
+    """Formats of the labelled table with other numbers, words and places in the line."""
+    rng = random.Random(21)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    first = lambda: rng.choice("23456789")
+    made = {
+        "phone": lambda: rng.choice([f"{first()}{d(2)}-{d(3)}-{d(4)}", f"({first()}{d(2)}) {d(3)}-{d(4)}", f"{first()}{d(2)}.{d(3)}.{d(4)}"]),
+        "ssn": lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        "iban": lambda: rng.choice([f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", f"GB{d(2)} NWBK {d(4)} {d(4)} {d(4)} {d(2)}", f"ES{d(22)}"]),
+    }
+    others = [lambda: f"{1900 + rng.randrange(130)}", lambda: f"${d(1)},{d(3)}.00", lambda: f"{d(2)}/{d(2)}/20{d(2)}", lambda: f"{d(3)}", lambda: f"v{d(1)}.{d(2)}.{d(1)}", lambda: f"{d(4)}-{d(2)}-{d(2)}"]
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    lines, want = [], []
+    for _ in range(600):
+        parts, spans = [], set()
+        for _ in range(rng.randint(1, 3)):
+            parts += [word() for _ in range(rng.randint(1, 6))]
+            if rng.random() < 0.5:
+                kind = rng.choice(list(made))
+                text = made[kind]()
+                start = len(" ".join(parts)) + 1
+                spans.add((kind, start, start + len(text)))
+                parts.append(text + rng.choice(["", ",", "."]))
+            else:
+                parts.append(rng.choice(others)())
+        parts.append(word())
+        lines.append(" ".join(parts))
+        want.append(spans)
+    got = [set(x) for x in pii.Tagger(pii.train()).spans(lines)]
+    hit, told, made_up = sum(len(g & w) for g, w in zip(got, want, strict=True)), sum(map(len, want)), sum(map(len, got))
+    print("recall", hit / told, "precision", hit / made_up)
+    assert hit >= 0.9 * told and hit >= 0.9 * made_up
