@@ -1,7 +1,9 @@
 """Tables that end a lineage: written to the folder that the cluster shares, and read back."""
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +21,43 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it is."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """The same rows from a written table: lost executors cost no recomputation of what is above."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t._staged_at)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end: what is wanted of them has to be written or collected by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
 
 def numbered(df: DataFrame, *order, name: str = "position") -> DataFrame:
