@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import shared_dir, staged  # noqa: F401
+from ..staging import discard, remove, scratch, shared_dir, staged  # noqa: F401
 
 #: Rows and bytes in an Arrow batch. Texts may be long; a batch is what a Python worker holds at once.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20

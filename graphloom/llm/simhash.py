@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import id_and_text, session_of, small_batches, staged
+from .common import discard, id_and_text, session_of, small_batches, staged
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED, SHINGLE, RADIUS, BITS = 42, 4, 4, 64
@@ -366,12 +366,14 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # A hub's edges are keyed by the hub; with its smallest neighbour in a written table, a join
         # of two plain shuffles remains, whose hot partition Spark splits.
-        least = staged(now.groupBy("v").agg(F.min("root").alias("m")), "least").withColumnRenamed("v", "root")
+        floors = staged(now.groupBy("v").agg(F.min("root").alias("m")), "least")
+        least = floors.withColumnRenamed("v", "root")
         large = now.join(least, "root", "left").select("v", F.coalesce("m", "root").alias("root")).distinct()
         floor = large.groupBy("v").agg(F.min("root").alias("m"))
         small = large.join(floor, "v")
         moved = small.select(F.col("root").alias("v"), F.col("m").alias("root")).unionByName(floor.select("v", F.col("m").alias("root")))
-        now = staged(moved.filter("v != root").distinct(), "stars")
+        before, now = now, staged(moved.filter("v != root").distinct(), "stars")
+        discard(before, floors)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "root").cast("decimal(38,0)")).alias("h")).first()
         if seen == state:
             return now
