@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     add("symbols", "list symbols", at, (("--label",), {}), limit(20))
     add("export", "write a graph as html, json or dot", at, (("--format",), {"choices": ("html", "json", "dot"), "default": "html"}), (("--output",), {"required": True}), limit(None))
     add("serve", "a graph in the browser", at, (("--port",), {"type": int, "default": 4747}))
-    add("diff", "what changed between two revisions", at, (("base",), {"nargs": "?", "default": "HEAD"}), (("head",), {"nargs": "?", "default": "WORKTREE"}), (("--format",), {"choices": ("text", "json"), "default": "text"}), limit(2000))
+    add("diff", "what changed between two revisions", at, (("base",), {"nargs": "?", "default": "HEAD"}), (("head",), {"nargs": "?", "default": "WORKTREE"}), (("--format",), {"choices": ("text", "json", "html"), "default": "text"}), (("--output",), {}), limit(2000))
     add("benchmark", "time a first run, one without changes, and one after a change", path, (("--format",), {"choices": ("text", "json"), "default": "text"}), (("--sample-file",), {}))
     add("list", "the graphs that are known")
     add("clean", "forget a graph", path)
@@ -57,9 +57,9 @@ def page_server(graph, port: int, limit: int = 2000):
 
     from .operators import export
 
-    part = export.html_part(graph, limit)
-    data = json.dumps({"nodes": [r.asDict() for r in part.nodes.collect()], "links": [r.asDict() for r in part.edges.collect()]}).encode()
-    page = export.html_text(graph, limit).encode()
+    made = export.graph_data(graph, limit)
+    data = json.dumps(made).encode()
+    page = export.page(made, "Code graph", f"{len(made['nodes'])} symbols | {len(made['links'])} connections").encode()
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):  # noqa: N802
@@ -113,7 +113,8 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps(report) if a.format == "json" else "\n".join(f"{k}: {r['seconds']} s, {r['files_scanned']} files" for k, r in report["runs"].items()))
         elif a.command == "diff":
             found = engine.diff_revisions(spark, root, a.base, a.head, a.limit)
-            print(engine.diff_json(found, a.base, a.head) if a.format == "json" else engine.diff_text(found, a.base, a.head))
+            said = {"text": engine.diff_text, "json": engine.diff_json, "html": engine.diff_html}[a.format](found)
+            export.write_text(said, a.output) if a.output else print(said)
         elif a.command == "mcp":
             tools.Server(spark, registry).serve()
         else:

@@ -164,19 +164,21 @@ def trace(starts: DataFrame, calls: DataFrame, max_depth: int = 10, branching: i
     A path ends at a leaf, where all callees were visited, or when it is longer than `max_depth`. An entry keeps its
     first `most` paths by length and path. Such a bound is what the operator is for: paths grow exponentially.
     """
-    arcs = staged(calls.distinct(), "arcs")
+    # a path has at most `max_depth` nodes that a step must leave out, so a hub's first few callees are enough
+    nearest = Window.partitionBy("at").orderBy("to")
+    first = calls.distinct().withColumn("_n", F.row_number().over(nearest)).filter(F.col("_n") <= branching + max_depth)
+    arcs = staged(first.groupBy("at").agg(F.sort_array(F.collect_list("to")).alias("callees")), "arcs")
     live = staged(starts.select(F.col("id").alias("entry"), F.array("id").alias("path")), "paths")
     done: list[DataFrame] = []
-    step = Window.partitionBy("path").orderBy("to")
+    # the bound on an entry's live paths, which a queue would have, too
+    bound = Window.partitionBy("entry").orderBy("path")
     for length in range(1, max_depth + 2):
         if length > max_depth:
             done.append(live)
             break
-        nexts = live.join(arcs, F.element_at("path", -1) == F.col("at")).filter(~F.array_contains("path", F.col("to")))
-        grown = nexts.withColumn("_n", F.row_number().over(step)).filter(F.col("_n") <= branching).select("entry", F.concat("path", F.array("to")).alias("path"))
-        done.append(live.join(nexts.select("path").distinct(), "path", "left_anti").select("entry", "path"))
-        # the bound on an entry's live paths, which a queue would have, too
-        bound = Window.partitionBy("entry").orderBy("path")
+        there = live.join(arcs, F.element_at("path", -1) == F.col("at"), "left").select("entry", "path", F.coalesce(F.array_except("callees", "path"), F.array().cast("array<string>")).alias("next"))
+        done.append(there.filter(F.size("next") == 0).select("entry", "path"))
+        grown = there.select("entry", "path", F.explode(F.slice("next", 1, branching)).alias("to")).select("entry", F.concat("path", F.array("to")).alias("path"))
         live = staged(grown.withColumn("_n", F.row_number().over(bound)).filter(F.col("_n") <= most).drop("_n"), "paths")
         if live.isEmpty():
             break

@@ -139,23 +139,25 @@ def file_records(paths: DataFrame, files: DataFrame, base: Graph, head: Graph) -
     )
 
 
-def summary(files: DataFrame, records: DataFrame, links: DataFrame) -> DataFrame:
-    """Eleven counts in one row."""
+def summary(files: DataFrame, records: DataFrame, links: DataFrame, refs: tuple[str, str] = ("base", "head")) -> DataFrame:
+    """The two revisions' names and eleven counts in one row."""
     count = lambda rows, names, prefix: rows.agg(*[F.count_if(F.col("status") == n).alias(f"{prefix}_{n}") for n in names])
     a = count(files, ("added", "removed", "modified", "unchanged"), "files")
     b = count(records, ("added", "removed", "modified", "moved", "unchanged"), "symbols")
-    return a.crossJoin(b).crossJoin(count(links, ("added", "removed"), "edges"))  # one row each
+    counts = a.crossJoin(b).crossJoin(count(links, ("added", "removed"), "edges"))  # one row each
+    return counts.select(F.lit(refs[0]).alias("base_ref"), F.lit(refs[1]).alias("head_ref"), *counts.columns)
 
 
-def diff(base: Graph, head: Graph, base_hashes: DataFrame, head_hashes: DataFrame, limit: int = MAX_SYMBOLS) -> dict[str, DataFrame]:
+def diff(base: Graph, head: Graph, base_hashes: DataFrame, head_hashes: DataFrame, limit: int = MAX_SYMBOLS, refs: tuple[str, str] = ("base", "head")) -> dict[str, DataFrame]:
     """files, records, nodes, links, summary. Hashes: file_path, hash."""
     own = lambda g, hashes: g.nodes.filter("label = 'File'").select("file_path").join(hashes, "file_path", "left")
     files = diff_files(own(base, base_hashes), own(head, head_hashes))
     records = staged(diff_symbols(base, head), "records")
     selected = staged(select_symbols(records, limit), "selected")
-    paths = select_files(selected, records, files)
+    paths = staged(select_files(selected, records, files), "paths")
     nodes = symbol_records(records, selected, files).unionByName(file_records(paths, files, base, head))
-    ids = nodes.select("id")
+    # the nodes' ids, without the degrees that a viewer shows
+    ids = selected.select(F.col("canonical_id").alias("id")).unionByName(files.join(paths, "path", "left_semi").select(F.concat(F.lit("file::"), "path").alias("id")))
     links = staged(diff_edges(base, head, canonical_ids(records, paths, "base"), canonical_ids(records, paths, "head"), ids), "links")
-    return {"files": files, "records": records, "nodes": nodes, "links": links, "summary": summary(files, records, links)}
+    return {"files": files, "records": records, "nodes": nodes, "links": links, "summary": summary(files, records, links, refs)}
 

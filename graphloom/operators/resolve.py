@@ -16,6 +16,8 @@ from ..staging import staged
 
 SAME_FILE, IMPORT_SCOPED, GLOBAL, DISPATCH = 0.95, 0.9, 0.5, 0.7
 UNTYPED = 0.8
+# What an edge says of a plain call, by where its name was found.
+REASONS = ("same-file call", "import-scoped call", "global call")
 CHAIN = 10
 
 # What an import's path may lack, in the order in which it is tried.
@@ -179,7 +181,7 @@ def resolve_names(wanted: DataFrame, symbols: DataFrame, bindings: DataFrame, im
 
 def plain_targets(names: DataFrame) -> DataFrame:
     """Names that lead somewhere: global ones only if there is one."""
-    reason = F.when(F.col("tier") == 1, "same-file").when(F.col("tier") == 5, "global").otherwise("import-resolved")
+    reason = F.when(F.col("tier") == 1, REASONS[0]).when(F.col("tier") == 5, REASONS[2]).otherwise(REASONS[1])
     return names.filter(~((F.col("tier") == 5) & (F.col("candidates") > 1))).select("from_file", "name", F.col("node_id").alias("target_id"), "confidence", reason.alias("reason"))
 
 
@@ -222,7 +224,7 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, bindings: DataFrame, imp
     names = staged(plain_targets(resolve_names(calls.select("from_file", F.col("callee_name").alias("name")), symbols, bindings, imported, targets=targets)), "names")
     plain = calls.filter("receiver is null").select("call_id", "caller_id", "from_file", F.col("callee_name").alias("name")).join(names, ["from_file", "name"])
     members = calls.filter("receiver is not null")
-    typed = members.join(receiver_types(members, symbols, bindings), ["from_file", "receiver"]).select("call_id", "caller_id", "type_name", F.col("callee_name").alias("method"))
+    typed = staged(members.join(receiver_types(members, symbols, bindings), ["from_file", "receiver"]).select("call_id", "caller_id", "type_name", F.col("callee_name").alias("method")), "typed-calls")
     on_type = typed.join(methods_on_types(typed, symbols), ["type_name", "method"]).select("call_id", "caller_id", "target_id", F.lit(IMPORT_SCOPED).alias("confidence"), F.lit("receiver-typed method call").alias("reason"))
     by_interface = typed.join(dispatch_targets(typed, symbols, heritage), ["type_name", "method"]).select("call_id", "caller_id", "target_id", F.lit(DISPATCH).alias("confidence"), F.lit("interface-dispatch").alias("reason"))
     found = staged(on_type.unionByName(by_interface.join(on_type.select("call_id", "target_id"), ["call_id", "target_id"], "left_anti")), "member-calls")

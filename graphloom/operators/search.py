@@ -5,12 +5,13 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SearchError
 from ..functions.text import basename, tokens
 from ..schema import is_symbol
+from ..staging import staged
 from .graph import substring_search
 
 K1, B = 1.2, 0.75
@@ -40,8 +41,10 @@ def build(nodes: DataFrame) -> Index:
 
 def build_over(fields: DataFrame, nodes: DataFrame) -> Index:
     """fields: node_id, field, text."""
-    cut = fields.select("node_id", "field", tokens(F.col("text")).alias("t"))
-    lengths = cut.select("field", "node_id", F.size("t").cast("long").alias("length"))
+    # a written table: texts are cut once for postings, lengths and averages
+    found = fields.select("node_id", "field", tokens(F.col("text")).alias("t"))
+    cut = staged(found.withColumn("length", F.size("t").cast("long")), "tokens")
+    lengths = cut.select("field", "node_id", "length")
     postings = cut.select("field", "node_id", F.posexplode("t").alias("position", "token")).groupBy("field", "token", "node_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
     stats = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
     return Index(postings, lengths, stats, nodes)
@@ -79,6 +82,22 @@ def parse(query: str) -> list[Clause]:
     return out
 
 
+def _scored(index: Index, hits: DataFrame, df: DataFrame, on: list[str], weight: Column | None = None) -> DataFrame:
+    """node_id, score. hits: field, node_id, tf and what df is counted by."""
+    rows = hits.join(df, on).join(index.lengths, ["field", "node_id"]).join(index.stats, "field")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
+    return rows.groupBy("node_id").agg(F.sum(score if weight is None else score * weight).alias("score"))
+
+
+def word_matches(index: Index, words: list[str]) -> DataFrame:
+    """node_id, score of what has any of the words in any field: all words in one pass. A word that is asked for twice counts twice."""
+    own = index.postings.filter(F.col("token").isin(*set(words)))
+    df = own.groupBy("field", "token").agg(F.count("*").alias("df"))
+    times = F.create_map(*[F.lit(x) for w in sorted(set(words)) for x in (w, words.count(w))])
+    return _scored(index, own.select("field", "token", "node_id", "tf"), df, ["field", "token"], times[F.col("token")])
+
+
 def matches(index: Index, clause: Clause) -> DataFrame:
     """node_id, score of what has the clause's tokens, in a row if there are several; summed over the fields."""
     own = index.postings.filter(F.col("field").isin(*((clause.field,) if clause.field else FIELDS)) & F.col("token").isin(*clause.tokens))
@@ -88,15 +107,9 @@ def matches(index: Index, clause: Clause) -> DataFrame:
             part = own.filter(F.col("token") == t).select("field", "node_id", F.explode("positions").alias("p")).select("field", "node_id", (F.col("p") - k).alias("p"))
             starts = part if starts is None else starts.join(part, ["field", "node_id", "p"])
         hits = starts.groupBy("field", "node_id").agg(F.count("*").alias("tf"))
-        df = hits.groupBy("field").agg(F.count("*").alias("df"))
-        scored = hits.join(df, "field")
-    else:
-        df = own.groupBy("field", "token").agg(F.count("*").alias("df"))
-        scored = own.select("field", "token", "node_id", "tf").join(df, ["field", "token"]).drop("token")
-    scored = scored.join(index.lengths, ["field", "node_id"]).join(index.stats, "field")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    return scored.groupBy("node_id").agg(F.sum(score).alias("score"))
+        return _scored(index, hits, hits.groupBy("field").agg(F.count("*").alias("df")), ["field"])
+    df = own.groupBy("field", "token").agg(F.count("*").alias("df"))
+    return _scored(index, own.select("field", "token", "node_id", "tf"), df, ["field", "token"])
 
 
 def search(index: Index, query: str, limit: int = 10) -> DataFrame:
@@ -107,7 +120,9 @@ def search(index: Index, query: str, limit: int = 10) -> DataFrame:
     if not wanted:
         hits = spark.createDataFrame([], "node_id string, score double")
     else:
-        hits = reduce(DataFrame.unionByName, [matches(index, c) for c in wanted]).groupBy("node_id").agg(F.sum("score").alias("score"))
+        words = [c.tokens[0] for c in wanted if len(c.tokens) == 1 and not c.field]
+        parts = [matches(index, c) for c in wanted if len(c.tokens) > 1 or c.field] + ([word_matches(index, words)] if words else [])
+        hits = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).groupBy("node_id").agg(F.sum("score").alias("score"))
     for c in clauses:
         if c.must or c.must_not:
             hits = hits.join(matches(index, c).select("node_id"), "node_id", "left_anti" if c.must_not else "left_semi")

@@ -272,7 +272,7 @@ def d9_node_records(v: Views) -> DataFrame:
 _COUNT = lambda t, names, p: ", ".join(f"(SELECT count(*) FROM {t} WHERE status = '{n}') AS {p}_{n}" for n in names)
 
 
-@query(f"WITH {_LINKS} SELECT {_COUNT('fd', ('added', 'removed', 'modified', 'unchanged'), 'files')}, {_COUNT('rec', ('added', 'removed', 'modified', 'moved', 'unchanged'), 'symbols')}, {_COUNT('lk', ('added', 'removed'), 'edges')}")
+@query(f"WITH {_LINKS} SELECT 'base' AS base_ref, 'head' AS head_ref, {_COUNT('fd', ('added', 'removed', 'modified', 'unchanged'), 'files')}, {_COUNT('rec', ('added', 'removed', 'modified', 'moved', 'unchanged'), 'symbols')}, {_COUNT('lk', ('added', 'removed'), 'edges')}")
 def d10_summary(v: Views) -> DataFrame:
     return whole_diff(v)["summary"]
 

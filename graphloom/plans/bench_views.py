@@ -28,12 +28,12 @@ UNION ALL SELECT 'customer::' || c_custkey, 'file::src/n' || c_nationkey || '.ts
 UNION ALL SELECT 'customer::' || o_custkey, 'order::' || o_orderkey, 'CALLS', 0.95 FROM orders
 UNION ALL SELECT 'order::' || l_orderkey, 'part::' || l_partkey, 'CALLS', CASE WHEN min(l_linenumber) = 3 THEN 0.4 ELSE 0.9 END FROM lineitem GROUP BY l_orderkey, l_partkey
 UNION ALL SELECT 'part::' || l_partkey, 'supplier::' || l_suppkey, 'IMPLEMENTS', 0.9 FROM lineitem GROUP BY l_partkey, l_suppkey) x""",
-    # transitions between a user's events: twelve small dense graphs
+    # transitions between a user's events: a small graph for each user
     "event_nodes": """
-SELECT DISTINCT event_type || '_' || (user_id % 12) AS id, 'Function' AS label, event_type AS name, 'src/team' || (user_id % 12) || '/' || event_type || '.ts' AS file_path, event_type <> 'error' AS is_exported FROM events""",
+SELECT DISTINCT event_type || '_' || user_id AS id, 'Function' AS label, event_type AS name, 'src/team' || user_id || '/' || event_type || '.ts' AS file_path, event_type <> 'error' AS is_exported FROM events""",
     "event_edges": """
 SELECT source_id || '-[CALLS]->' || target_id AS id, source_id, target_id, 'CALLS' AS rel_type, CASE WHEN count(*) > 2 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END AS confidence FROM (
-SELECT event_type || '_' || (user_id % 12) AS source_id, lead(event_type || '_' || (user_id % 12)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target_id FROM events) x WHERE target_id IS NOT NULL GROUP BY source_id, target_id""",
+SELECT event_type || '_' || user_id AS source_id, lead(event_type || '_' || user_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target_id FROM events) x WHERE target_id IS NOT NULL GROUP BY source_id, target_id""",
     # files, imports, bindings, calls and heritage among them
     "symbols": """
 SELECT id AS node_id, name, label, file_path, 'typescript' AS language, is_exported, return_type, start_line, end_line FROM nodes WHERE label NOT IN ('Folder', 'File') AND NOT id LIKE 'order::%'""",
@@ -55,8 +55,7 @@ SELECT 'customer::' || c_custkey AS child_id, CASE c_custkey % 4 WHEN 0 THEN 'su
 SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') || '.ts' AS path FROM pages WHERE page_id % 5 <> 0
 UNION SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') || '/index.js' FROM pages WHERE page_id % 5 = 0""",
     "path_imports": """
-SELECT DISTINCT a.path AS from_file, CASE page_id % 4 WHEN 0 THEN './' || (page_id % 900) WHEN 1 THEN '../' || regexp_extract(url, '/([a-z][a-z])/', 1) || '/./' || regexp_extract(url, '/([0-9]+)', 1) WHEN 2 THEN '"pkg/' || regexp_extract(url, '/([a-z][a-z]/[0-9]+)', 1) || '"' ELSE regexp_replace(regexp_extract(url, '/([a-z][a-z]/[0-9]+)', 1), '/', '.') END AS module_path
-FROM paths a JOIN pages ON length(a.path) % 7 = page_id % 7""",
+SELECT DISTINCT a.path AS from_file, m.module_path FROM paths a JOIN (SELECT DISTINCT page_id % 7 AS r, CASE page_id % 4 WHEN 0 THEN './' || (page_id % 900) WHEN 1 THEN '../' || regexp_extract(url, '/([a-z][a-z])/', 1) || '/./' || regexp_extract(url, '/([0-9]+)', 1) WHEN 2 THEN '"pkg/' || regexp_extract(url, '/([a-z][a-z]/[0-9]+)', 1) || '"' ELSE regexp_replace(regexp_extract(url, '/([a-z][a-z]/[0-9]+)', 1), '/', '.') END AS module_path FROM pages) m ON length(a.path) % 7 = m.r""",
     # two revisions of the parts
     "base_nodes": """
 SELECT 'file::' || file_path AS id, 'File' AS label, file_path AS name, file_path, CAST(NULL AS STRING) AS container_name, CAST(NULL AS INT) AS start_line, CAST(NULL AS STRING) AS language, CAST(NULL AS INT) AS parameter_count, CAST(NULL AS STRING) AS return_type, CAST(NULL AS BIGINT) AS body_hash FROM (SELECT DISTINCT 'lib/' || p_brand || '/' || (p_partkey % 17) || '.ts' AS file_path FROM part) f

@@ -265,7 +265,7 @@ def m5_file_contains(v: Views) -> DataFrame:
 
 @query("""SELECT coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN b.file_path IS NULL THEN 'added' WHEN a.file_path IS NULL THEN 'deleted' WHEN a.hash = b.hash THEN 'unchanged' ELSE 'modified' END AS status FROM head_hashes a FULL JOIN base_hashes b ON a.file_path = b.file_path""")
 def m8_changeset(v: Views) -> DataFrame:
-    return changeset(v.head_hashes, v.base_hashes)
+    return changeset(v.head_hashes, v.base_hashes).select("file_path", "status")
 
 
 @query("SELECT count(*) = 0 AS unchanged FROM (SELECT file_path, hash FROM base_hashes EXCEPT SELECT file_path, hash FROM base_hashes) x")
@@ -347,9 +347,9 @@ def k4_html_nodes(v: Views) -> DataFrame:
     return export.html_part(g(v), 50).nodes
 
 
-@query(_TOP + " SELECT source_id AS source, target_id AS target, rel_type AS type, confidence FROM edges WHERE rel_type <> 'CONTAINS' AND source_id IN (SELECT id FROM top) AND target_id IN (SELECT id FROM top)")
+@query(_TOP.replace("LIMIT 50", "LIMIT 3000") + " SELECT source_id AS source, target_id AS target, rel_type AS type, confidence FROM edges WHERE rel_type <> 'CONTAINS' AND source_id IN (SELECT id FROM top) AND target_id IN (SELECT id FROM top)")
 def k4_html_links(v: Views) -> DataFrame:
-    return export.html_part(g(v), 50).edges
+    return export.html_part(g(v), 3000).edges
 
 
 @query("SELECT id, name FROM nodes WHERE contains(lower(name), 'ring') AND label IN ('Function', 'Method') ORDER BY id LIMIT 12")
@@ -357,6 +357,23 @@ def k10_viewer_search(v: Views) -> DataFrame:
     return export.viewer_search(v.nodes, "RING", ("Function", "Method")).select("id", "name")
 
 
+@query(_TOP.replace("LIMIT 50", "LIMIT 3000") + """, li AS (SELECT source_id AS source, target_id AS target, rel_type AS type FROM edges WHERE rel_type <> 'CONTAINS' AND source_id IN (SELECT id FROM top) AND target_id IN (SELECT id FROM top)), hub AS (SELECT source AS id FROM li GROUP BY source ORDER BY count(*) DESC, source LIMIT 1),
+o AS (SELECT 'out' AS direction, target AS other, type FROM li WHERE source = (SELECT id FROM hub) UNION ALL SELECT 'in', source, type FROM li WHERE target = (SELECT id FROM hub))
+SELECT direction, other, type FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY type, other) AS k FROM o) x WHERE k <= 30""")
+def k10_viewer_links(v: Views) -> DataFrame:
+    """The first 30 links of each side of the node with the most links going out."""
+    links = staged(export.html_part(g(v), 3000).edges, "links")
+    hub = links.groupBy("source").count().orderBy(F.desc("count"), "source").first()["source"]
+    return export.viewer_links(links, hub)
+
+
+@query("SELECT id, name FROM head_nodes WHERE label = 'Interface' AND contains(name, 'pplier_1') ORDER BY id LIMIT 12")
+def k10_viewer_status(v: Views) -> DataFrame:
+    """A diff's nodes by name and status: suppliers are the added ones."""
+    made = v.head_nodes.select("id", "name", "label", F.when(F.col("id").startswith("added::"), "added").otherwise("unchanged").alias("status"))
+    return export.viewer_search(made, "PPLIER_1", None, 12, ("added",)).select("id", "name")
+
+
 @query("SELECT source_id || '-[' || rel_type || ']->' || target_id AS id FROM edges")
 def t2_edge_ids(v: Views) -> DataFrame:
     return v.edges.select(edge_id(F.col("source_id"), F.col("rel_type"), F.col("target_id")).alias("id"))

@@ -92,14 +92,20 @@ def r9_tiered_names(v: Views) -> DataFrame:
     return named(v)
 
 
-@query("""WITH alias_map AS (SELECT DISTINCT from_file AS file_path, 'mod' || (length(from_file) % 3) AS alias, target_file AS source_path FROM import_map), defs AS (SELECT DISTINCT source_path AS d_file, alias AS d_name FROM alias_map),
-cand AS (SELECT a.file_path AS from_file, a.alias AS name, d.d_file || '::' || d.d_name AS node_id FROM alias_map a JOIN defs d ON a.source_path = d.d_file AND a.alias = d.d_name) SELECT from_file, name, CASE WHEN node_id IS NULL THEN 0 ELSE 3 END AS tier, node_id FROM cand""")
+# aliases name a module of which the import map knows for one file in two only
+_ALIASES = "al AS (SELECT DISTINCT 'src/n' || c_nationkey || '.ts' AS file_path, 'mod' || (c_custkey % 7) AS alias, 'ext/m' || (c_nationkey % 5) || '.ts' AS source_path FROM customer), im AS (SELECT DISTINCT file_path AS from_file, source_path AS target_file FROM al WHERE CAST(substring(file_path, 6, length(file_path) - 8) AS INT) % 2 = 0), df AS (SELECT DISTINCT source_path || '::' || alias || '::' || n AS node_id, alias AS name, source_path AS file_path FROM al, (VALUES (1), (2)) t(n) WHERE n = 1 OR alias = 'mod3')"
+
+
+@query(f"""WITH {_ALIASES} SELECT al.file_path AS from_file, al.alias AS name, CASE WHEN EXISTS (SELECT 1 FROM im WHERE im.from_file = al.file_path AND im.target_file = al.source_path) THEN 3 ELSE 4 END AS tier, CAST(0.9 AS DOUBLE) AS confidence, df.node_id FROM al JOIN df ON df.file_path = al.source_path AND df.name = al.alias""")
 def r8_module_aliases(v: Views) -> DataFrame:
-    """A module alias is found in the module that it names; here the import map finds the same definitions one tier earlier."""
-    aliases = v.import_map.select(F.col("from_file").alias("file_path"), F.concat(F.lit("mod"), F.length("from_file") % 3).alias("alias"), F.col("target_file").alias("source_path")).distinct()
-    defs = aliases.select(F.concat("source_path", F.lit("::"), "alias").alias("node_id"), F.col("alias").alias("name"), F.lit("Function").alias("label"), F.col("source_path").alias("file_path")).distinct()
+    """A module alias is found in the module that it names, where the import map doesn't find it one tier earlier."""
+    key = F.col("c_nationkey")
+    aliases = v.customer.select(F.concat(F.lit("src/n"), key, F.lit(".ts")).alias("file_path"), F.concat(F.lit("mod"), F.col("c_custkey") % 7).alias("alias"), F.concat(F.lit("ext/m"), key % 5, F.lit(".ts")).alias("source_path"), (key % 2 == 0).alias("known")).distinct()
+    imported = aliases.filter("known").select(F.col("file_path").alias("from_file"), F.col("source_path").alias("target_file")).distinct()
+    copies = F.when(F.col("alias") == "mod3", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    defs = aliases.select("source_path", "alias").distinct().withColumn("n", F.explode(copies)).select(F.concat_ws("::", "source_path", "alias", "n").alias("node_id"), F.col("alias").alias("name"), F.lit("Function").alias("label"), F.col("source_path").alias("file_path"))
     asked = aliases.select(F.col("file_path").alias("from_file"), F.col("alias").alias("name"))
-    return resolve.resolve_names(asked, defs, v.bindings.limit(0), v.import_map, aliases).filter("tier < 5").select("from_file", "name", "tier", "node_id")
+    return resolve.resolve_names(asked, defs, v.bindings.limit(0), imported, aliases.drop("known")).select("from_file", "name", "tier", "confidence", "node_id")
 
 
 @query(f"WITH {_CHAIN} SELECT * FROM chained")
@@ -134,7 +140,7 @@ def r21_unique_best(v: Views) -> DataFrame:
 
 # --- calls -----------------------------------------------------------------------------------
 
-_PLAIN = "pt AS (SELECT from_file, name, node_id AS target_id, confidence, CASE tier WHEN 1 THEN 'same-file' WHEN 5 THEN 'global' ELSE 'import-resolved' END AS reason FROM named WHERE NOT (tier = 5 AND candidates > 1))"
+_PLAIN = "pt AS (SELECT from_file, name, node_id AS target_id, confidence, CASE tier WHEN 1 THEN 'same-file call' WHEN 5 THEN 'global call' ELSE 'import-scoped call' END AS reason FROM named WHERE NOT (tier = 5 AND candidates > 1))"
 _TYPES = "'Class', 'Interface', 'Struct', 'Enum', 'Trait', 'TypeAlias', 'Record', 'Union', 'Delegate', 'Template'"
 _RECEIVER = f"""ra AS (SELECT DISTINCT from_file, receiver FROM calls WHERE receiver IS NOT NULL),
 rc AS (SELECT ra.from_file, ra.receiver, CASE WHEN s.label IN ({_TYPES}) THEN 1 ELSE 2 END AS rank, CASE WHEN s.label IN ({_TYPES}) THEN s.name ELSE s.return_type END AS t, s.node_id FROM ra JOIN bindings b ON b.file_path = ra.from_file AND b.local_name = ra.receiver JOIN symbols s ON s.file_path = b.source_path AND s.name = b.exported_name

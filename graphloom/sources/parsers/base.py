@@ -113,18 +113,34 @@ class File:
         return self.facts
 
 
-def blank(text: str, quotes: str, line: str = "//", block: tuple[str, str] | None = ("/*", "*/"), raw: str = "", char_literals: bool = False) -> str:
+def blank(text: str, quotes: str, line: str = "//", block: tuple[str, str] | None = ("/*", "*/"), raw: str = "", char_literals: bool = False, templates: str = "") -> str:
     """The text with comments and the insides of strings as spaces; lines and lengths stay.
 
-    quotes: characters that begin and end a string, with backslash escapes; raw: those without.
+    quotes: characters that begin and end a string, with backslash escapes; raw: those without; templates: those whose
+    strings have code between ${ and }, which stays, in braces.
     """
     out, k, n = list(text), 0, len(text)
+    depth, open_ = 0, []  # braces, and (quote, depth) of the templates that the place is in
 
     def wipe(a: int, b: int) -> None:
         for i in range(a, min(b, n)):
             if out[i] != "\n":
                 out[i] = " "
 
+    def template(k: int, quote: str) -> int:
+        """From within a template to the place after its end, or after the brace of its next piece of code."""
+        nonlocal depth
+        start = k
+        while k < n and text[k] != quote and not text.startswith("${", k):
+            k += 2 if text[k] == "\\" else 1
+        if k < n and text[k] == "$":
+            wipe(start, k + 1)
+            open_.append((quote, depth))
+            depth += 1
+            return k + 2
+        wipe(start, k)
+        return k + 1
+
     while k < n:
         c = text[k]
         if text.startswith(line, k):
@@ -137,6 +153,8 @@ def blank(text: str, quotes: str, line: str = "//", block: tuple[str, str] | Non
             end = n if end < 0 else end + len(block[1])
             wipe(k, end)
             k = end
+        elif c in templates:
+            k = template(k + 1, c)
         elif c in raw:
             end = text.find(c, k + 1)
             end = n if end < 0 else end
@@ -147,12 +165,15 @@ def blank(text: str, quotes: str, line: str = "//", block: tuple[str, str] | Non
                 k += 1  # a lifetime
                 continue
             end = k + 1
-            while end < n and text[end] != c and not (text[end] == "\n" and c != "`" and not char_literals):
+            while end < n and text[end] != c and not (text[end] == "\n" and not char_literals):
                 end += 2 if text[end] == "\\" else 1
             wipe(k + 1, end)
             k = end + 1
         else:
+            depth += (c == "{") - (c == "}")
             k += 1
+            if c == "}" and open_ and open_[-1][1] == depth:
+                k = template(k, open_.pop()[0])
     return "".join(out)
 
 
@@ -169,13 +190,14 @@ def closing(text: str, at: int) -> int:
     return len(text)
 
 
-def split_top(text: str, sep: str = ",") -> list[str]:
-    """Parts at separators outside all brackets, angle brackets too; no empty ones."""
+def split_top(text: str, sep: str = ",", angles: bool = True) -> list[str]:
+    """Parts at separators outside all brackets (angle brackets too, unless they are comparisons); no empty ones."""
+    opening, ending = ("([{<", ")]}>") if angles else ("([{", ")]}")
     parts, depth, last = [], 0, 0
     for k, c in enumerate(text):
-        if c in "([{<":
+        if c in opening:
             depth += 1
-        elif c in ")]}" or c == ">" and text[k - 1 : k] not in ("=", "-"):
+        elif c in ending and not (c == ">" and text[k - 1 : k] in ("=", "-")):
             depth -= 1
         elif c == sep and depth <= 0:
             parts.append(text[last:k])
@@ -183,6 +205,120 @@ def split_top(text: str, sep: str = ",") -> list[str]:
     return [p.strip() for p in [*parts, text[last:]] if p.strip()]
 
 
+def _is_word(c: str) -> bool:
+    return c.isalnum() or c in "_$"
+
+
+class Calls:
+    """Call sites of a text without comments and strings: a name before a parenthesis, with the expression that it is asked of.
+
+    words: what is no name of a function; paths: whether `::` joins names, and `!` and `?` end them (Rust); angles: whether type
+    arguments may stand between a name and its parenthesis.
+    """
+
+    def __init__(self, text: str, words: frozenset[str], paths: bool = False, angles: bool = False):
+        self.text, self.words, self.paths, self.angles = text, words, paths, angles
+        self.opened: dict[int, int] = {}  # closing brackets to their opening ones
+        stack: list[int] = []
+        for m in re.finditer(r"[()\[\]{}]", text):
+            if m[0] in _PAIRS:
+                stack.append(m.start())
+            elif stack:
+                self.opened[m.start()] = stack.pop()
+
+    def back(self, k: int, within: str = " \t\r\n") -> int:
+        """The place after the last character before k that is no space."""
+        while k and self.text[k - 1] in within:
+            k -= 1
+        return k
+
+    def word_start(self, k: int) -> int:
+        while k and _is_word(self.text[k - 1]):
+            k -= 1
+        return k
+
+    def angle_start(self, k: int) -> int:
+        """The place of the < that the > before k closes, -1 if it is a comparison."""
+        depth = 0
+        while k:
+            k -= 1
+            c = self.text[k]
+            if c == ">" and self.text[k - 1 : k] not in ("=", "-"):
+                depth += 1
+            elif c == "<":
+                depth -= 1
+                if not depth:
+                    return k
+            elif c in "();{}" or c == "&" and self.text[k - 1 : k] == "&":
+                return -1
+        return -1
+
+    def start(self, k: int) -> int:
+        """Where the expression begins that ends at k: names, calls, indices and literals joined by dots."""
+        text = self.text
+        while True:
+            k = self.back(k)
+            c = text[k - 1 : k]
+            if c and c in ")]}":
+                if k - 1 not in self.opened:
+                    return k
+                k = self.opened[k - 1]
+                j = k if c == "}" else self.back(k, " \t")
+                before = text[j - 1 : j]
+                if before == "." and c == ")":  # a type assertion
+                    k = j - 1
+                elif before and (before in ")]" or self.paths and before == "!" or self.angles and before == ">" and self.angle_start(j) >= 0):
+                    k = j
+                elif before and _is_word(before) and text[self.word_start(j) : j] not in self.words:
+                    k = j
+                else:
+                    return k
+            elif c and c in "\"'`":
+                return max(0, text.rfind(c, 0, k - 1))
+            elif c and (_is_word(c) or c == "#"):
+                k = self.word_start(k - (c == "#"))
+                k -= text[k - 1 : k] == "#"
+                p = self.back(k)
+                if text[p - 1 : p] == "." and text[max(0, p - 3) : p] != "...":
+                    k = p - 1
+                    k -= text[k - 1 : k] == "?" and not self.paths
+                elif self.paths and text[max(0, p - 2) : p] == "::":
+                    k = p - 2
+                else:
+                    return p - 3 if not self.paths and p < k and text[max(0, p - 3) : p] == "new" and not _is_word(text[p - 4 : p - 3] or " ") else k
+            elif c == "!" or c == "?" and self.paths:
+                k -= 1
+            elif c == ">" and (self.angles or self.paths) and (at := self.angle_start(k)) >= 0:
+                k = at - 2 if self.paths and text[max(0, at - 2) : at] == "::" else at
+            else:
+                return k
+
+    def __iter__(self):
+        """(name, receiver's start and end or None, where the call begins, its parenthesis)"""
+        text = self.text
+        for m in re.finditer(r"\(", text):
+            k = self.back(m.start(), " \t")
+            if self.angles and text[k - 1 : k] == ">":
+                k = self.angle_start(k)
+            elif self.paths and text[k - 1 : k] == ">" and (at := self.angle_start(k)) >= 2 and text[at - 2 : at] == "::":
+                k = at - 2
+            if k <= 0 or not _is_word(text[k - 1]):
+                continue
+            s = self.word_start(k)
+            name, p = text[s:k], self.back(s)
+            if name[0].isdigit() or text[s - 1 : s] == "#":
+                continue
+            dotted = text[p - 1 : p] == "." and text[max(0, p - 3) : p] != "..."
+            if dotted or self.paths and text[max(0, p - 2) : p] == "::":
+                end = p - 1 if dotted else p - 2
+                end -= text[end - 1 : end] == "?" and not self.paths
+                first = self.start(end)
+                if first < end:
+                    yield name, (first, end), first, m.start()
+            elif name not in self.words:
+                yield name, None, s, m.start()
+
+
 def statement_end(text: str, at: int) -> int:
     """The place after a statement that begins at `at`: a semicolon, or a line's end outside brackets."""
     k = at

@@ -4,12 +4,11 @@ from __future__ import annotations
 import re
 
 from ...schema import EXTENSIONS
-from .base import Facts, File, blank, closing, split_top, statement_end
+from .base import Calls, Facts, File, blank, closing, split_top, statement_end
 
 _FUNC = re.compile(r"^func\s+(?:\(\s*(?:\w+\s+)?\*?\s*(?P<owner>\w+)[^)]*\)\s*)?(?P<name>\w+)\s*(?:\[[^\]]*\])?\(", re.M)
 _SPEC = re.compile(r"(?P<name>[A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)?(?P<alias>=\s*)?(?P<kind>struct\s*\{|interface\s*\{|[^\s{])")
 _TYPE = re.compile(r"^[ \t]*type\s+(?P<group>\()?", re.M)
-_CALL = re.compile(r"(?<![\w.])(?P<path>[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*|\)(?:\.[A-Za-z_]\w*)+)\s*(?:\[[\w\s,.*\]\[]*\])?\(")
 _WORDS = frozenset("func if for switch select return go defer range case var const type map chan interface struct import package".split())
 _IMPORT = re.compile(r'(?:(?P<alias>[\w.]+)\s+)?"(?P<path>[^"\n]+)"')
 
@@ -54,11 +53,9 @@ class Go:
             for one in _IMPORT.finditer(f.text, m.end(), end):
                 alias = one["alias"] if one["alias"] not in (None, ".", "_") else None
                 f.import_(alias or one["path"].rsplit("/", 1)[-1], one["path"], one.start(), alias=alias, namespace=True)
-        for m in _CALL.finditer(text):
-            parts = m["path"].split(".")
-            if m.end() - 1 in heads or (len(parts) == 1 and parts[0] in _WORDS):
-                continue
-            f.call(parts[-1], ".".join(parts[:-1]) if len(parts) > 1 else None, m.start(), len(split_top(f.text[m.end() : closing(text, m.end() - 1) - 1])))
+        for name, receiver, at, paren in Calls(text, _WORDS):
+            if paren not in heads:
+                f.call(name, f.text[slice(*receiver)].strip() if receiver else None, at, len(split_top(text[paren + 1 : closing(text, paren) - 1], angles=False)))
         return f.done()
 
     @staticmethod

@@ -9,15 +9,38 @@ from ...schema import EXTENSIONS
 from .base import Facts, File
 
 
+#: Lines that are given up in a file before the file is.
+MOST_ERRORS = 200
+
+
+def tolerant(path: str, text: str) -> ast.Module:
+    """The syntax tree; a line that can't be parsed counts as a block's head, as `pass`, or as nothing."""
+    lines, last = text.split("\n"), None
+    for _ in range(MOST_ERRORS):
+        try:
+            return ast.parse("\n".join(lines))
+        except SyntaxError as e:
+            last = e
+            k = min(max(1, e.lineno or 1), len(lines)) - 1
+            while k >= 0 and not lines[k].strip():
+                k -= 1
+            if k < 0:
+                break
+            own = lines[k].strip()
+            indent = lines[k][: len(lines[k]) - len(lines[k].lstrip())]
+            # the head of a block still holds its lines together
+            lines[k] = indent + "if 1:" if own.endswith(":") and own != "if 1:" else "" if own == "pass" else indent + "pass"
+        except (ValueError, RecursionError) as e:
+            raise ParseFailed(f"{path}: {e}") from e
+    raise ParseFailed(f"{path}: {last}")
+
+
 class Python:
     language, extensions = "python", EXTENSIONS["python"]
 
     def parse(self, path: str, data: bytes) -> Facts:
         f = File(path, data, self.language)
-        try:
-            tree = ast.parse(f.text)
-        except (SyntaxError, ValueError, RecursionError) as e:
-            raise ParseFailed(f"{path}: {e}") from e
+        tree = tolerant(path, f.text)
         bytes_of = [f.text[a:b].encode() for a, b in zip(f.starts, [*f.starts[1:], len(f.text)], strict=True)]
 
         def at(line: int, col: int) -> int:

@@ -2,16 +2,17 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from ...schema import EXTENSIONS
-from .base import Facts, File, blank, closing, split_top
+from .base import Calls, Facts, File, blank, closing, split_top
 
 _VIS = r"(?P<vis>\bpub(?:\s*\([^)]*\))?\s+)?"
 _ITEM = re.compile(_VIS + r"\b(?P<kind>struct|enum|trait|mod|type|union)\s+(?P<name>[A-Za-z_]\w*)")
 _IMPL = re.compile(r"\b(?:unsafe\s+)?impl\b(?P<head>[^{;]*)\{")
 _MACRO = re.compile(r"\bmacro_rules!\s*(?P<name>\w+)\s*(?P<open>[{(\[])")
 _FN = re.compile(_VIS + r"(?P<words>(?:\b(?:const|async|unsafe|default|extern(?:\s*\"[^\"]*\")?)\s+)*)\bfn\s+(?P<name>\w+)\s*(?:<[^({]*>)?\s*\(")
-_CALL = re.compile(r"(?P<path>(?<![\w.:])[A-Za-z_]\w*(?:(?:::|\.)[A-Za-z_]\w*)*|\)(?:\.[A-Za-z_]\w*)+)(?P<bang>!)?\s*(?:::<[^()]*>)?\s*\(")
+_INVOKED = re.compile(r"(?P<path>(?:\w+\s*::\s*)*)\b(?P<name>[A-Za-z_]\w*)!\s*(?=[(\[{])")
 _USE = re.compile(r"\buse\s+(?P<tree>[^;]+);")
 _WORDS = frozenset("if while for match return fn loop in as let mut ref move pub impl where struct enum trait mod use else unsafe".split())
 _LABELS = {"struct": "Struct", "union": "Struct", "enum": "Enum", "trait": "Trait", "mod": "Namespace", "type": "TypeAlias"}
@@ -85,14 +86,20 @@ class Rust:
         for m in _USE.finditer(text):
             for name, module, alias in _uses(m["tree"]):
                 f.import_(name, module, m.start(), alias=alias, namespace=name == "*")
-        for m in _CALL.finditer(text):
-            if m.end() - 1 in heads:
+        # what stands in a macro's brackets is tokens, not calls
+        tokens, last = [], 0
+        for m in _INVOKED.finditer(text):
+            if m.start() >= last and m["name"] != "macro_rules":
+                last = closing(text, m.end())
+                tokens.append((m.end(), last))
+                if not m["path"]:
+                    f.call(m["name"], None, m.start(), 0)
+        starts = [a for a, _ in tokens]
+        for name, receiver, at, paren in Calls(text, _WORDS, paths=True):
+            k = bisect_right(starts, paren) - 1
+            if paren in heads or k >= 0 and paren < tokens[k][1]:
                 continue
-            parts = re.split(r"::|\.", m["path"])
-            if len(parts) == 1 and parts[0] in _WORDS:
-                continue
-            receiver = m["path"][: -len(parts[-1])].rstrip(":.") if len(parts) > 1 else None
-            f.call(parts[-1], receiver, m.start(), len(split_top(f.text[m.end() : closing(text, m.end() - 1) - 1])))
+            f.call(name, f.text[slice(*receiver)].strip() if receiver else None, at, len(split_top(text[paren + 1 : closing(text, paren) - 1], angles=False)))
         return f.done()
 
 

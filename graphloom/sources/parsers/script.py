@@ -4,17 +4,18 @@ from __future__ import annotations
 import re
 
 from ...schema import EXTENSIONS
-from .base import Facts, File, blank, closing, split_top, statement_end
+from .base import Calls, Facts, File, blank, closing, split_top, statement_end
 
 _NAME = r"[A-Za-z_$][\w$]*"
 _LEAD = r"(?P<lead>(?:\b(?:export|default|declare|abstract|async|public|private|protected|static|readonly)\s+)*)"
-_TYPE = re.compile(_LEAD + rf"\b(?P<kind>class|interface|enum|const\s+enum)\s+(?P<name>{_NAME})\s*(?P<generic><[^{{}}()]*>)?\s*(?P<head>[^{{;]*)\{{")
+_TYPE = re.compile(_LEAD + rf"\b(?P<kind>class|interface|enum|const\s+enum)\s+(?!(?:extends|implements)\b)(?P<name>{_NAME})\s*(?P<generic><[^{{}}()]*>)?\s*(?P<head>[^{{;]*)\{{")
 _ALIAS = re.compile(_LEAD + rf"\btype\s+(?P<name>{_NAME})\s*(?:<[^=;]*>)?\s*=")
 _FUNCTION = re.compile(_LEAD + rf"\bfunction\s*\*?\s*(?P<name>{_NAME})\s*(?:<[^()]*>)?\s*\(")
 _CONST = re.compile(rf"(?P<lead>(?:\bexport\s+)?)\b(?:const|let|var)\s+(?P<name>{_NAME})\s*(?::[^=;]*?(?:=>[^=;]*?)?)?=\s*(?P<async>async\s+)?(?P<what>function\b|(?:<[^()]*>\s*)?\(|{_NAME}\s*=>)")
 _MEMBER = re.compile(rf"(?P<lead>(?:\b(?:public|private|protected|static|readonly|abstract|async|override|declare|get|set)\s+|\*\s*)*)(?P<name>#?{_NAME})\s*[?!]?\s*(?P<next><[^()=;]*>\s*\(|\(|:|=(?!=)|;|\n|$)")
 _SIGNATURE = re.compile(rf"(?:{_NAME}|\bnew)\s*\??\s*(?:<[^()]*>)?\(|[;{{,\n]\s*\(")
-_CALL = re.compile(rf"(?P<new>\bnew\s+)?(?P<path>(?<![\w$.])(?:{_NAME}|\)|\])(?:\s*\??\.\s*#?{_NAME})*)\s*(?:<[\w\s,.\[\]|]*>)?\s*\(")
+_BARE_NEW = re.compile(rf"\bnew\s+(?P<name>{_NAME})\s*(?![\w$.(<\[])")
+_ANONYMOUS = re.compile(r"\bclass\s*(?:(?:extends|implements)\b[^{;]*)?\{")
 _WORDS = frozenset("if for while switch catch function return typeof await yield super import constructor of in do else throw case delete void instanceof new".split())
 _IMPORT = re.compile(r"\bimport\s+(?:type\s+)?(?:(?P<clause>[^'\";()]*?)\s*\bfrom\s*)?(['\"])(?P<module>[^'\"\n]*)\2")
 _REEXPORT = re.compile(r"\bexport\s+(?:type\s+)?(?:\*(?:\s+as\s+[\w$]+)?|\{[^}]*\})\s*from\s*(['\"])(?P<module>[^'\"\n]*)\1")
@@ -25,24 +26,46 @@ class TypeScript:
 
     def parse(self, path: str, data: bytes) -> Facts:
         f = File(path, data, self.language)
-        text = blank(f.text, "'\"`")
+        text = blank(f.text, "'\"", templates="`")
         heads: set[int] = set()  # brackets that open parameters of definitions, not calls
         self._types(f, text, heads)
         self._functions(f, text, heads)
         self._imports(f, text)
-        for m in _CALL.finditer(text):
-            if m.end() - 1 in heads:
+        calls = Calls(text, _WORDS, angles=self.types)
+        for name, receiver, at, paren in calls:
+            if paren in heads or self._signature(f, text, name, receiver, at, paren):
                 continue
-            parts = [p.strip() for p in re.split(r"\??\.", m["path"])]
-            if len(parts) == 1 and (parts[0] in _WORDS or parts[0] in ")]"):
-                continue
-            inside = text[m.end() : closing(text, m.end() - 1) - 1]
-            n = len(split_top(f.text[m.end() : m.end() + len(inside)] if not inside.strip() else inside))
-            f.call(parts[-1], None if m["new"] or len(parts) == 1 else ".".join(parts[:-1]), m.start(), n)
+            told = f.text[slice(*receiver)].strip() if receiver else None
+            if told and re.fullmatch(rf"new\s+{_NAME}(\s*\.\s*{_NAME})*", told):
+                continue  # a constructor in a module
+            inside = text[paren + 1 : closing(text, paren) - 1]
+            f.call(name, told, at, len(split_top(inside, angles=False)))
+        for m in _BARE_NEW.finditer(text):
+            f.call(m["name"], None, m.start(), 0)
         return f.done()
 
+    def _signature(self, f: File, text: str, name: str, receiver, at: int, paren: int) -> bool:
+        """Whether it is a member of an object or of a type, not a call: `{ name() {} }` (a method, which is defined) or `{ name(): T }`."""
+        after = closing(text, paren)
+        nxt = re.compile(r"[ \t]*(?P<type>:[^{};=,()]*)?[ \t]*(?P<open>\{)?").match(text, after)
+        lead = re.search(r"[{,;(](?:\s*(?:async|get|set|static|readonly|\*))*\s*$", text[max(0, at - 60) : at])
+        if receiver or not lead or not (nxt["open"] or nxt["type"]) or nxt["open"] and lead[0][0] in ";(" or not nxt["open"] and lead[0][0] == "(":
+            return False
+        if nxt["open"]:
+            words = lead[0][1:].split()
+            more = {"is_async": "async" in words, "parameter_count": len(split_top(text[paren + 1 : after - 1])), "return_type": (nxt["type"] or "").lstrip(":").strip() or None}
+            f.define("Method", name, at, closing(text, nxt.end() - 1), container_name=self._owner(at), **more)
+        return bool(nxt["open"] or self.types)
+
+    def _owner(self, at: int) -> str | None:
+        """The nearest class around a place."""
+        return next((n for a, b, n in sorted(self.classes, key=lambda c: c[1] - c[0]) if a <= at < b), None)
+
     def _types(self, f: File, text: str, heads: set[int]) -> None:
         inherited = []
+        self.classes: list[tuple[int, int, str]] = []
+        for m in _ANONYMOUS.finditer(text):
+            self._members(f, text, m.end(), closing(text, m.end() - 1) - 1, None, heads)
         for m in _TYPE.finditer(text):
             kind = m["kind"].split()[-1]
             if kind != "class" and not self.types:
@@ -56,6 +79,7 @@ class TypeScript:
             if kind == "interface":  # signatures aren't calls
                 heads.update(x.end() - 1 for x in _SIGNATURE.finditer(text, m.end(), end))
             if kind == "class":
+                self.classes.append((m.end(), end, m["name"]))
                 self._members(f, text, m.end(), end - 1, m["name"], heads)
         if self.types:
             for m in _ALIAS.finditer(text):
@@ -63,7 +87,7 @@ class TypeScript:
         for row in inherited:
             f.inherit(*row)
 
-    def _members(self, f: File, text: str, k: int, end: int, owner: str, heads: set[int]) -> None:
+    def _members(self, f: File, text: str, k: int, end: int, owner: str | None, heads: set[int]) -> None:
         while k < end:
             if text[k].isspace() or text[k] in ";,}":
                 k += 1
@@ -83,7 +107,7 @@ class TypeScript:
             if m["next"].endswith("("):
                 heads.add(m.end() - 1)
                 params_end = closing(text, m.end() - 1)
-                body = re.compile(r"\s*(?::(?P<type>[^{;=]*))?\s*(?P<open>\{)?").match(text, params_end)
+                body = re.compile(r"\s*(?::(?P<type>[^{};=]*))?\s*(?P<open>\{)?").match(text, params_end)
                 stop = closing(text, body.end() - 1) if body["open"] else statement_end(text, params_end)
                 f.define("Method", m["name"], k, stop, is_async="async" in lead, parameter_count=len(split_top(text[m.end() : params_end - 1])), return_type=(body["type"] or "").strip() or None, **more)
             else:
@@ -113,7 +137,7 @@ class TypeScript:
 
     def _function(self, f: File, text: str, name: str, start: int, at: int, exported: bool, is_async: bool) -> None:
         after = closing(text, at)
-        m = re.compile(r"\s*(?::(?P<type>\s*(?:\{[^}]*\}|[^{;=])[^{;=]*))?\s*(?P<arrow>=>)?\s*(?P<open>\{)?").match(text, after)
+        m = re.compile(r"\s*(?::(?P<type>\s*(?:\{[^}]*\}|[^{};=])[^{};=]*))?\s*(?P<arrow>=>)?\s*(?P<open>\{)?").match(text, after)
         end = closing(text, m.end() - 1) if m["open"] else statement_end(text, m.end())
         f.define("Function", name, start, end, is_exported=exported, is_async=is_async, parameter_count=len(split_top(text[at + 1 : after - 1])), return_type=(m["type"] or "").strip() or None)
 

@@ -82,28 +82,50 @@ def ignored(path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def walk(root: str | Path, config: Config = Config()) -> Iterator[tuple[str, int]]:
-    """(relative path, size) of the files that aren't ignored, depth first and by name. Links and folders that can't be read are passed over."""
-
-    def inside(folder: Path, base: str, rules: list[Rule]) -> Iterator[tuple[str, int]]:
-        rules = rules + rules_in(folder, base)
-        try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError:
-            return
-        for e in entries:
-            path = f"{base}/{e.name}" if base else e.name
-            if e.is_symlink():
-                continue
-            is_dir = e.is_dir(follow_symlinks=False)
-            if is_ignored(path, is_dir, config, rules):
-                continue
-            if is_dir:
-                yield from inside(Path(e.path), path, rules)
-            elif e.is_file(follow_symlinks=False):
-                yield path, e.stat(follow_symlinks=False).st_size
-
-    yield from inside(Path(root), "", [])
+def entries(root: str, base: str, rules: list[Rule], config: Config) -> tuple[list[tuple[str, int]], list[tuple[str, list[Rule]]]]:
+    """A folder's files (relative path, size) and subfolders (relative path, rules above) that aren't ignored, by name.
+
+    Links and folders that can't be read are passed over.
+    """
+    folder = Path(root, base)
+    rules = rules + rules_in(folder, base)
+    files, folders = [], []
+    try:
+        found = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError:
+        return files, folders
+    for e in found:
+        path = f"{base}/{e.name}" if base else e.name
+        if e.is_symlink():
+            continue
+        is_dir = e.is_dir(follow_symlinks=False)
+        if is_ignored(path, is_dir, config, rules):
+            continue
+        if is_dir:
+            folders.append((path, rules))
+        elif e.is_file(follow_symlinks=False):
+            files.append((path, e.stat(follow_symlinks=False).st_size))
+    return files, folders
+
+
+def walk(root: str | Path, config: Config = Config(), base: str = "", rules: list[Rule] | None = None) -> Iterator[tuple[str, int]]:
+    """(relative path, size) of the files that aren't ignored, below a folder whose rules from above are given; folders come after a folder's files."""
+    files, folders = entries(str(root), base, rules or [], config)
+    yield from files
+    for path, own in folders:
+        yield from walk(root, config, path, own)
+
+
+def frontier(root: str | Path, config: Config, most: int) -> tuple[list[tuple[str, int]], list[tuple[str, list[Rule]]]]:
+    """The files of the upper folders, and `most` or more folders whose insides haven't been looked at; none if the tree is smaller."""
+    files: list[tuple[str, int]] = []
+    folders: list[tuple[str, list[Rule]]] = [("", [])]
+    while folders and len(folders) < most:
+        path, rules = folders.pop(0)
+        own, below = entries(str(root), path, rules, config)
+        files += own
+        folders += below
+    return files, folders
 
 
 def admitted(rows: DataFrame, languages: tuple[str, ...] | None = None, max_file_size: int = Config.max_file_size) -> DataFrame:
@@ -125,11 +147,32 @@ def content_hash(data: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def listing(spark: SparkSession, root: str | Path, config: Config = Config(), languages: tuple[str, ...] | None = PARSED) -> DataFrame:
-    """relative_path, size of the files that a scan takes. The walk is the driver's: ignore files are read top down."""
-    found = [(p, s) for p, s in walk(root, config) if (lang := _LANGUAGE.get(_extension(p))) and s <= config.max_file_size and (not languages or lang in languages)]
-    rows = spark.createDataFrame(found, "relative_path string, size long")
-    return rows.repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism * 4)))
+def listing(spark: SparkSession, root: str | Path, config: Config = Config(), languages: tuple[str, ...] | None = PARSED, upper: int | None = None) -> DataFrame:
+    """relative_path, size of the files that a scan takes. Ignore files are read top down: the driver walks the upper folders until there
+    are `upper` (a few for each executor thread), and the executors walk what is below these; `root` is a folder that all machines see."""
+    top, limit = str(root), config.max_file_size
+    parts = spark.sparkContext.defaultParallelism
+
+    def taken(path: str, size: int) -> bool:
+        return bool((lang := _LANGUAGE.get(_extension(path))) and size <= limit and (not languages or lang in languages))
+
+    files, folders = frontier(top, config, upper or parts * 8)
+    found = [(p, s) for p, s in files if taken(p, s)]
+    schema = "relative_path string, size long"
+    rows = spark.createDataFrame(found, schema).repartition(max(1, min(len(found), parts)))
+    if not folders:
+        return rows
+    below = spark.createDataFrame([(p, [tuple(vars(r).values()) for r in rules]) for p, rules in folders], "folder string, rules array<struct<pattern:string,base:string,folders_only:boolean,negated:boolean>>")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for folder, rules in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = [(p, s) for p, s in walk(top, config, folder, [Rule(**r) for r in rules]) if taken(p, s)]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.string()), pa.array([s for _, s in got], pa.int64())], ["relative_path", "size"])
+
+    return rows.unionByName(below.repartition(min(len(folders), parts * 8)).mapInArrow(run, schema))
 
 
 def read(rows: DataFrame, root: str | Path) -> DataFrame:

@@ -3,19 +3,23 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
+import re
 import time
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..errors import StoreVersionError
+from ..errors import EngineError, StoreVersionError
 from ..operators.graph import Graph
 from ..schema import EDGES, FILE_HASHES, NODES, conform
 
 VERSION = 1
-TABLES = ("nodes", "edges", "file_hashes", "imports", "calls", "heritage")
+FACTS = ("imports", "calls", "heritage")
+#: Of each file: its content's hash, and a hash of its facts (null: not known).
+HASHES = T.StructType([*FILE_HASHES.fields, T.StructField("facts", T.LongType())])
 
 
 def _path(spark: SparkSession, path: str):
@@ -24,46 +28,137 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def drop(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.delete(p, True)
+
+
+# A graph is a folder of tables in folders by generation, and of manifests. A manifest names the tables of a
+# generation, of which some may be an earlier one's; it is written when all its tables are, so a run that breaks off
+# leaves the generation before it as it was.
+
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    fs, p = _path(spark, f"{path}/manifests")
+    return sorted(int(m[1]) for f in (fs.listStatus(p) if fs.exists(p) else []) if (m := re.fullmatch(r"(\d+)\.json", f.getPath().getName())))
+
+
+def manifest(spark: SparkSession, path: str) -> dict | None:
+    """The newest generation's number and tables, None without a graph. What was cut off while it was written doesn't count."""
+    for n in reversed(_manifests(spark, path)):
+        fs, p = _path(spark, f"{path}/manifests/{n}.json")
+        stream = fs.open(p)
+        try:
+            found = json.loads(bytes(stream.readAllBytes()))
+        except ValueError:
+            continue
+        finally:
+            stream.close()
+        if found.get("version") != VERSION:
+            raise StoreVersionError(f"{path} has version {found.get('version')}; this is {VERSION}")
+        return found
+    return None
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """In any file system that Spark reads."""
-    fs, p = _path(spark, f"{path}/edges/_SUCCESS")
-    return fs.exists(p)
+    return bool(_manifests(spark, path))
 
 
-def drop(spark: SparkSession, path: str) -> bool:
-    fs, p = _path(spark, path)
-    return fs.delete(p, True)
+class Generation:
+    """A generation that is being written: tables are put into it, and `done` makes it the newest."""
+
+    def __init__(self, spark: SparkSession, path: str, before: dict | None = None):
+        self.spark, self.path, self.before = spark, path, before
+        numbers = _manifests(spark, path)
+        self.number = numbers[-1] + 1 if numbers else 1
+        self.folder = f"{self.number}-{uuid.uuid4().hex[:8]}"
+        self.tables: dict[str, list[str]] = {}
+
+    def put(self, rows: DataFrame, name: str) -> DataFrame:
+        """A part of a table, read back."""
+        at = f"{self.folder}/{name}-{len(self.tables.get(name, []))}"
+        rows.write.parquet(f"{self.path}/{at}")
+        self.tables.setdefault(name, []).append(at)
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{at}")
+
+    def keep(self, *names: str) -> None:
+        """The tables of the generation before, as they are."""
+        self.tables |= {n: self.before["tables"][n] for n in names if n in self.before["tables"]}
+
+    def done(self) -> None:
+        fs, p = _path(self.spark, f"{self.path}/manifests/{self.number}.json")
+        out = fs.create(p, True)
+        out.write(bytearray(json.dumps({"version": VERSION, "generation": self.number, "tables": self.tables}).encode()))
+        out.close()
+        self._forget()
+
+    def _forget(self) -> None:
+        """Deletes what neither this generation nor the one before it needs: readers of that one may still be at work."""
+        used = {t.split("/")[0] for m in (self.before, {"tables": self.tables}) if m for parts in m["tables"].values() for t in parts}
+        fs, p = _path(self.spark, self.path)
+        for f in fs.listStatus(p):
+            name = f.getPath().getName()
+            if re.fullmatch(r"\d+-[0-9a-f]{8}", name) and name not in used and int(name.split("-")[0]) < self.number:
+                fs.delete(f.getPath(), True)
+        least = self.before["generation"] if self.before else self.number
+        for n in _manifests(self.spark, self.path):
+            if n < least:
+                drop(self.spark, f"{self.path}/manifests/{n}.json")
+
+
+def _table(spark: SparkSession, path: str, found: dict, name: str, schema: T.StructType) -> DataFrame:
+    parts = [f"{path}/{t}" for t in found["tables"].get(name, [])]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
+def laid(edges: DataFrame) -> DataFrame:
+    """Edges by relation within each file, so that a scan for one relation skips the rest."""
+    return conform(edges, EDGES).sortWithinPartitions("rel_type", "source_id")
 
 
 def save(graph: Graph, file_hashes: DataFrame, path: str, facts: dict[str, DataFrame] | None = None) -> None:
-    """Nodes, edges by relation, hashes and facts (None: there are none). Edges come last: a graph without them isn't there yet."""
-    graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    file_hashes.select("file_path", "hash").write.mode("overwrite").parquet(f"{path}/file_hashes")
+    """Nodes, edges, hashes and facts (None: there are none) as the newest generation."""
+    spark = graph.nodes.sparkSession
+    made = Generation(spark, path, manifest(spark, path))
+    made.put(conform(graph.nodes, NODES), "nodes")
+    made.put(laid(graph.edges), "edges")
+    made.put(conform(file_hashes, HASHES), "file_hashes")
     for name, rows in (facts or {}).items():
-        if rows is None:
-            drop(graph.nodes.sparkSession, f"{path}/{name}")
-        else:
-            rows.write.mode("overwrite").parquet(f"{path}/{name}")
-    graph.nodes.sparkSession.createDataFrame([(VERSION,)], "version int").coalesce(1).write.mode("overwrite").json(f"{path}/version")
-    graph.edges.write.mode("overwrite").partitionBy("rel_type").parquet(f"{path}/edges")
+        if rows is not None:
+            made.put(rows, name)
+    made.done()
 
 
-def load(spark: SparkSession, path: str) -> tuple[Graph, DataFrame]:
-    version = spark.read.json(f"{path}/version").first()["version"]
-    if version != VERSION:
-        raise StoreVersionError(f"{path} has version {version}; this is {VERSION}")
-    nodes, edges = (conform(spark.read.schema(s).parquet(f"{path}/{t}"), s) for t, s in (("nodes", NODES), ("edges", EDGES)))
-    return Graph(nodes, edges), spark.read.parquet(f"{path}/file_hashes")
+def load(spark: SparkSession, path: str, found: dict | None = None) -> tuple[Graph, DataFrame]:
+    found = found or manifest(spark, path)
+    if found is None:
+        raise EngineError(f"no graph in {path}")
+    return Graph(_table(spark, path, found, "nodes", NODES), _table(spark, path, found, "edges", EDGES)), _table(spark, path, found, "file_hashes", HASHES)
 
 
-def load_facts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def load_facts(spark: SparkSession, path: str, found: dict | None = None) -> dict[str, DataFrame]:
     """The facts by kind; None where there are none."""
-
-    def one(name: str) -> DataFrame | None:
-        fs, p = _path(spark, f"{path}/{name}/_SUCCESS")
-        return spark.read.parquet(f"{path}/{name}") if fs.exists(p) else None
-
-    return {t: one(t) for t in TABLES[3:]}
+    found = found or manifest(spark, path)
+    return {n: spark.read.parquet(*[f"{path}/{t}" for t in found["tables"][n]]) if n in found["tables"] else None for n in FACTS}
+
+
+def read_graph_json(spark: SparkSession, path: str) -> tuple[Graph, DataFrame]:
+    """A graph from one JSON document {version, nodes, edges, file_hashes}: labels, relations and languages by their names in code
+    (`StepInProcess`), hashes as unsigned numbers."""
+    number = T.DecimalType(20, 0)
+    inner = T.StructType([T.StructField(f.name, number if f.name == "body_hash" else f.dataType) for f in NODES if f.name not in ("id", "label", "annotations")])
+    node = T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.StringType()), T.StructField("properties", inner)])
+    whole = T.StructType([T.StructField("version", T.IntegerType()), T.StructField("nodes", T.ArrayType(node)), T.StructField("edges", T.ArrayType(EDGES)), T.StructField("file_hashes", T.MapType(T.StringType(), number))])
+    doc = spark.read.schema(whole).option("multiLine", True).json(path)
+    version = doc.select("version").first()
+    if version is None or version[0] != VERSION:
+        raise StoreVersionError(f"{path} has no version {VERSION}")
+    signed = lambda c: F.when(F.col(c) >= F.lit(str(1 << 63)).cast(number), F.col(c) - F.lit(str(1 << 64)).cast("decimal(21,0)")).otherwise(F.col(c)).cast("long")
+    nodes = doc.select(F.explode("nodes").alias("n")).select("n.id", "n.label", "n.properties.*").withColumns({"body_hash": signed("body_hash"), "language": F.lower("language")})
+    edges = doc.select(F.explode("edges").alias("e")).select("e.*").withColumn("rel_type", F.upper(F.regexp_replace("rel_type", "(?<=[a-z])(?=[A-Z])", "_")))
+    hashes = doc.select(F.explode("file_hashes").alias("file_path", "hash")).withColumn("hash", signed("hash"))
+    return Graph(conform(nodes, NODES), conform(edges, EDGES)), conform(hashes, FILE_HASHES)
 
 
 def _nested(columns: tuple[str, ...]):
@@ -141,6 +236,3 @@ def clean(spark: SparkSession, root: str, store: str, registry: Registry | None
         registry.remove(root)
     return found
 
-
-def remove_tree(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)

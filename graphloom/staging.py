@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import EngineError
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Unset: a folder under /tmp in local mode, an error on a cluster,
@@ -21,6 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def mounted_dir(spark: SparkSession) -> str:
+    """The shared folder as a path that programs open as well; an error where it isn't one (a file system that isn't mounted)."""
+    at = shared_dir(spark)
+    path = at.removeprefix("file://") if at.startswith("file://") else at.removeprefix("file:")
+    if "://" in path:
+        raise EngineError(f"{at} is no folder that is mounted; a repository's files have to be in one")
+    return path
+
+
 _scopes: list[list[str]] = []
 
 

@@ -56,8 +56,35 @@ def test_python():
     assert [(i["imported_name"], i["module_path"], i["alias"], i["is_namespace"]) for i in f.imports] == [("os.path", "os/path", None, True), ("x", "m", "y", False), ("z", "m", None, False), ("*", "./n", None, True)]
     assert {c["callee_name"] for c in f.calls} >= {"print", "User"}
     assert [(h["parent_name"], h["kind"]) for h in f.heritage] == [("User", "Extends")]
+    assert parse("b.py", "def (:").nodes == []
+    broken = parse("c.py", "class A:\n    def f(self):\n        x = = 1\n        return g(1).h()\n\ndef k(:\n    pass\n\ndef ok():\n    z[0].w()\n")
+    assert defs(broken) == {("Class", "A"), ("Method", "A.f"), ("Function", "ok")}
+    assert [(c["receiver"], c["callee_name"]) for c in broken.calls] == [("g(1)", "h"), (None, "g"), ("z[0]", "w")]
     with pytest.raises(ParseFailed):
-        parse("b.py", "def (:")
+        parse("d.py", "x = 1\0\n" * 3)
+
+
+def calls(path, text):
+    return [(c["receiver"], c["callee_name"], c["arguments_count"]) for c in parse(path, text).calls]
+
+
+def test_receivers_are_whole_expressions():
+    got = calls("a.ts", "a().b(); x[0].c(); this.d().e(1).g(2, 3); new Foo().bar(); new Q; new a.B(1); a?.b(); q!.r(); 'lit'.trim(); a\n  .b1()\n  .c1(); f(...h()); (a as T).z(); k(x < y, z > w); m<T>(1);")
+    assert got == [
+        (None, "a", 0), ("a()", "b", 0), ("x[0]", "c", 0), ("this", "d", 0), ("this.d()", "e", 1), ("this.d().e(1)", "g", 2), (None, "Foo", 0), ("new Foo()", "bar", 0), ("a", "b", 0), ("q!", "r", 0), ("'lit'", "trim", 0),
+        ("a", "b1", 0), ("a\n  .b1()", "c1", 0), (None, "f", 1), (None, "h", 0), ("(a as T)", "z", 0), (None, "k", 2), (None, "m", 1), (None, "Q", 0),
+    ]
+    assert calls("a.ts", "s(`t ${inner(1, `u ${deep()}`)} v(x)`)") == [(None, "s", 1), (None, "inner", 2), (None, "deep", 0)]
+    assert calls("a.go", "package s\nfunc f() { a.b().c(1); x[0].d(); v.(Q).m(); T{A: 1}.n(); if ok(a) { go run() } }") == [("a", "b", 0), ("a.b()", "c", 1), ("x[0]", "d", 0), ("v.(Q)", "m", 0), ("T{A: 1}", "n", 0), (None, "ok", 1), (None, "run", 0)]
+    assert calls("a.rs", "fn f() { a.b()?.c(1); U::new(x).go(); std::io::read(); p!(\"{}\", self.k()); v![1, f()].it(); Vec::<u8>::w(1); \"s\".len(); }") == [
+        (None, "p", 0), (None, "v", 0), ("a", "b", 0), ("a.b()?", "c", 1), ("U", "new", 1), ("U::new(x)", "go", 0), ("std::io", "read", 0), ("v![1, f()]", "it", 0), ("Vec::<u8>", "w", 1), ('"s"', "len", 0),
+    ]
+
+
+def test_members_that_are_no_calls():
+    f = parse("a.ts", "const o = { meth(a, b) { deep(); }, async go(): void { }, k: f(1) };\ntype T = { h(): void, i(x): string };\nexport default class extends Q { mm() { g(); } }")
+    assert [c["callee_name"] for c in f.calls] == ["deep", "f", "g"] and f.heritage == []
+    assert defs(f) == {("Method", "meth"), ("Method", "go"), ("TypeAlias", "T"), ("Method", "mm")}
 
 
 GO = 'package sample\n\nimport "fmt"\n\ntype Embedded struct {\n\tID string\n}\n\ntype User struct {\n\tEmbedded\n\tNameValue string\n}\n\ntype Repository interface {\n\tSave(user User) error\n}\n\nfunc NewUser(name string) User {\n\tfmt.Println(name)\n\treturn User{NameValue: name}\n}\n\nfunc (u User) Name() string {\n\treturn u.NameValue\n}\n\nfunc helper(a, b int) {}\n'
@@ -221,6 +248,41 @@ def interchange(spark, graph, out, tmp_path):
         store.read_json(spark, str(tmp_path / "nine"))
 
 
+def test_a_run_that_breaks_off_leaves_the_graph(spark, tmp_path):
+    """Tables of a generation without a manifest don't count, and are gone after the next run."""
+    root, out = tree(tmp_path / "repo", FILES), str(tmp_path / "graph")
+    a = engine.analyze(spark, str(root), out)
+    before = ids(a.graph.edges)
+    (root / "src/app.ts").unlink()
+    broken = store.Generation(spark, out, store.manifest(spark, out))
+    broken.put(a.graph.nodes.limit(1), "nodes")
+    assert ids(store.load(spark, out)[0].edges) == before
+    (tmp_path / "graph/manifests/7.json").write_text('{"version": 1, "gen')  # cut off
+    assert ids(store.load(spark, out)[0].edges) == before
+    b = engine.analyze(spark, str(root), out)
+    assert b.deleted == 1 and not (tmp_path / "graph" / broken.folder).exists()
+    assert ids(b.graph.edges) == ids(engine.analyze(spark, str(root), str(tmp_path / "other")).graph.edges) != before
+
+
+def test_a_comment_keeps_the_graph(spark, tmp_path):
+    root, out = tree(tmp_path / "repo", FILES), str(tmp_path / "graph")
+    engine.analyze(spark, str(root), out)
+    first = store.manifest(spark, out)
+    (root / "src/app.ts").write_text(FILES["src/app.ts"] + "// no fact\n")
+    b = engine.analyze(spark, str(root), out)
+    second = store.manifest(spark, out)
+    assert (b.modified, b.files_scanned) == (1, 1) and second["tables"]["edges"] == first["tables"]["edges"] and second["tables"]["file_hashes"] != first["tables"]["file_hashes"]
+    assert engine.analyze(spark, str(root), out).unchanged == 4
+
+
+def test_walk_on_executors(spark, tmp_path):
+    root = tree(tmp_path, {f"d{k}/e{k}/f{j}.ts": "" for k in range(6) for j in range(3)} | {".gitignore": "f1.ts\n", "d2/.gitignore": "!f1.ts\n", "top.ts": ""})
+    want = sorted(p for p, _ in scan.walk(root) if p.endswith(".ts"))
+    assert len(want) == 14
+    for upper in (1, 2, 4, 100):
+        assert sorted(r.relative_path for r in scan.listing(spark, root, upper=upper).collect()) == want
+
+
 def test_empty_repository(spark, tmp_path):
     a = engine.analyze(spark, str(tree(tmp_path / "r", {"readme.txt": ""})), str(tmp_path / "g"))
     assert ids(a.graph.nodes) == ["project::root"] and a.graph.edges.count() == 0
@@ -251,9 +313,19 @@ def test_stream(spark, tmp_path):
         seen.append((sorted(r.name for r in state.tables["nodes"].collect()), sorted(r.callee_name for r in state.tables["calls"].collect()), state.files.count()))
 
     def drain():
-        q = incremental.follow(spark.readStream.schema(schema).parquet(inbox), str(tmp_path / "cp"), linked)
+        q = incremental.follow(spark.readStream.schema(schema).parquet(inbox), str(tmp_path / "cp"), str(tmp_path / "facts"), linked)
         q.processAllAvailable()
         q.stop()
 
     drain()
     assert seen == [(["g"], ["f", "x"], 2)]
+    # a stream that is started again goes on with the files of before; a batch that comes twice counts once
+    spark.createDataFrame([("b.py", "python", None, 3), ("c.py", "python", bytearray(b"def h(): y()\n"), 3)], schema).coalesce(1).write.mode("append").parquet(inbox)
+    drain()
+    assert seen[1] == (["g", "h"], ["f", "y"], 2)
+    state = incremental.FactTables(spark, str(tmp_path / "facts"), most_parts=2)
+    batch = spark.createDataFrame([("d.py", "python", bytearray(b"z()\n"), 4)], schema)
+    for _ in range(2):
+        state.apply(batch, 2)
+    assert sorted(r.callee_name for r in state.tables["calls"].collect()) == ["f", "y", "z"] and state.files.count() == 3
+    assert len(store.manifest(spark, state.path)["tables"]["calls"]) == 1  # parts became one
