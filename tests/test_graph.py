@@ -1,4 +1,8 @@
 """Graph store, traversal, search, analytics and diff on small graphs."""
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,25 +28,59 @@ def chain(spark):
     return Graph(nodes(spark, [{"id": i} for i in "abc"]), edges(spark, [("a", "CALLS", "b"), ("b", "CALLS", "c")]))
 
 
-def test_add_and_query(spark):
-    g = Graph(nodes(spark, [{"id": "f1", "name": "index.ts", "label": "File", "file_path": "src/index.ts"}, {"id": "fn1", "name": "main", "file_path": "src/index.ts"}]), edges(spark, [("f1", "CONTAINS", "fn1")]))
-    t = graph.totals(g).first()
-    assert (t.node_count, t.edge_count, t.file_count) == (2, 1, 1)
-    assert graph.in_file(g.nodes, "src/index.ts").count() == 2
-    assert graph.by_label(g.nodes, "Function").count() == 1
-    assert graph.outgoing(g.edges, "f1", "CONTAINS").count() == 1
-    assert graph.outgoing(g.edges, "f1", "CALLS").count() == 0
+KINDS, RELATIONS = ("Function", "Class", "Method", "File", "Enum"), ("CALLS", "USES", "CONTAINS")
+
+
+def drawn(seed, n=40, m=120):
+    """A drawn graph as plain rows: {id: (name, label, folder)} and a set of (source, relation, target); some ends have no node."""
+    rng = random.Random(seed)
+    own = {f"n{k}": (f"name{rng.randrange(9)}", rng.choice(KINDS), f"d{rng.randrange(5)}/x.go") for k in range(n)}
+    every = [*own, "gone1", "gone2"]
+    return own, {(rng.choice(every), rng.choice(RELATIONS), rng.choice(every)) for _ in range(m)}
+
+
+def as_graph(spark, own, arrows):
+    return Graph(nodes(spark, [{"id": i, "name": x, "label": label, "file_path": at} for i, (x, label, at) in own.items()]), edges(spark, sorted(arrows)))
 
 
-def test_replacing_a_node(spark):
-    new = graph.upsert(nodes(spark, [{"id": "n1", "name": "old", "file_path": "old.ts"}]), nodes(spark, [{"id": "n1", "name": "new", "label": "Class", "file_path": "new.ts"}]))
-    assert [(r.name, r.label, r.file_path) for r in new.collect()] == [("new", "Class", "new.ts")]
+@pytest.fixture(scope="module")
+def plain():
+    return drawn(1)
+
+
+@pytest.fixture(scope="module")
+def random_graph(spark, plain):
+    return as_graph(spark, *plain)
 
 
-def test_replacing_an_edge(spark):
-    rows = lambda t: spark.createDataFrame([("edge1", "a", t)], "id string, source_id string, target_id string")
-    new = graph.upsert(rows("b"), rows("c"))
-    assert [r.target_id for r in new.collect()] == ["c"]
+def idset(df, column="id"):
+    got = [r[column] for r in df.select(column).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def test_lookups_are_filters(plain, random_graph):
+    own, arrows = plain
+    t = graph.totals(random_graph).first()
+    assert (t.node_count, t.edge_count, t.file_count) == (len(own), len(arrows), len({at for _, _, at in own.values()}))
+    for label in KINDS:
+        assert idset(graph.by_label(random_graph.nodes, label)) == {i for i, r in own.items() if r[1] == label}
+    for at in ("d0/x.go", "d4/x.go", "nowhere"):
+        assert idset(graph.in_file(random_graph.nodes, at)) == {i for i, r in own.items() if r[2] == at}
+    for i in ("n0", "n7", "gone1", "nobody"):
+        for rel in (None, *RELATIONS):
+            assert idset(graph.outgoing(random_graph.edges, i, rel), "target_id") >= {t for s, r, t in arrows if s == i and r == rel} if rel else True
+            assert graph.outgoing(random_graph.edges, i, rel).count() == sum(s == i and rel in (None, r) for s, r, _ in arrows)
+            assert graph.incoming(random_graph.edges, i, rel).count() == sum(t == i and rel in (None, r) for _, r, t in arrows)
+
+
+def test_upserts_are_dict_updates(spark, plain):
+    own, _ = plain
+    later = {f"n{k}": ("changed", "Class", f"new{k}.go") for k in range(20, 60)}
+    got = graph.upsert(as_graph(spark, own, [("a", "USES", "b")]).nodes, as_graph(spark, later, [("a", "USES", "b")]).nodes)
+    assert {r.id: (r.name, r.label, r.file_path) for r in got.collect()} == own | later
+    rows = lambda pairs: spark.createDataFrame(pairs, "id string, source_id string, target_id string")
+    assert sorted(map(tuple, graph.upsert(rows([("k", "p", "q"), ("l", "p", "r")]), rows([("k", "p", "z")])).collect())) == [("k", "p", "z"), ("l", "p", "r")]
 
 
 def test_upsert_keeps_the_last_by_order(spark):
@@ -51,18 +89,40 @@ def test_upsert_keeps_the_last_by_order(spark):
     assert sorted((r.id, r.v) for r in got.collect()) == [("x", 2), ("y", None)]
 
 
-def test_removing_a_file(spark):
-    g = Graph(nodes(spark, [{"id": "f1", "label": "File", "file_path": "src/a.ts"}, {"id": "fn1", "file_path": "src/a.ts"}, {"id": "f2", "label": "File", "file_path": "src/b.ts"}]), edges(spark, [("fn1", "IMPORTS", "f2")]))
-    left = graph.remove_files(g, spark.createDataFrame([("src/a.ts",)], "file_path string"))
-    assert (left.nodes.count(), left.edges.count()) == (1, 0)
-
-
-def test_bfs(spark, chain):
-    start = spark.createDataFrame([("a",)], "id string")
-    hits = {r.node_id: (r.depth, r.path) for r in traverse.bfs(chain.edges, start, "out", 3).collect()}
-    assert hits == {"b": (1, ["a", "b"]), "c": (2, ["a", "b", "c"])}
-    assert [r.node_id for r in traverse.bfs(chain.edges, start, "out", 1).collect()] == ["b"]
-    assert traverse.bfs(chain.edges, spark.createDataFrame([("c",)], "id string"), "in", 5).count() == 2
+def test_removing_files_takes_their_nodes_and_all_edges_there(spark, plain, random_graph):
+    own, arrows = plain
+    gone = {"d1/x.go", "d3/x.go", "not/there.go"}
+    left = graph.remove_files(random_graph, spark.createDataFrame([(p,) for p in gone], "file_path string"))
+    dead = {i for i, r in own.items() if r[2] in gone}
+    assert idset(left.nodes) == set(own) - dead
+    assert {(r.source_id, r.rel_type, r.target_id) for r in left.edges.collect()} == {e for e in arrows if not {e[0], e[2]} & dead}
+
+
+def walked(arrows, start, direction, depth):
+    """node -> (depth, least shortest path), step by step."""
+    ways = {("out", s, t) for s, _, t in arrows} | {("in", t, s) for s, _, t in arrows}
+    ways = {(a, b) for w, a, b in ways if direction in (w, "both")}
+    seen, front = {start: (0, [start])}, {start: [start]}
+    for d in range(1, depth + 1):
+        nxt = {}
+        for a, b in ways:
+            if a in front and b not in seen:
+                nxt[b] = min(nxt.get(b, [chr(0x10FFFF)]), front[a] + [b])
+        front = nxt
+        seen |= {b: (d, p) for b, p in nxt.items()}
+    return {b: x for b, x in seen.items() if b != start}
+
+
+@pytest.mark.parametrize("direction, depth", [("out", 1), ("out", 4), ("in", 3), ("both", 2)])
+def test_bfs_is_a_walk_by_hand(spark, direction, depth):
+    own, arrows = drawn(depth, 60, 80)
+    g = as_graph(spark, own, arrows)
+    starts = ["n0", "n1", "gone1"]
+    rows = traverse.bfs(g.edges, spark.createDataFrame([(s,) for s in starts], "id string"), direction, depth).collect()
+    for s in starts:
+        assert {r.node_id: (r.depth, r.path) for r in rows if r.start_id == s} == walked(arrows, s, direction, depth)
+    short = traverse.bfs(g.edges, spark.createDataFrame([("n0",)], "id string"), direction, depth, with_paths=False).collect()
+    assert {r.node_id: r.depth for r in short} == {n: d for n, (d, _) in walked(arrows, "n0", direction, depth).items()}
 
 
 def test_bfs_both_ways(spark, chain):
@@ -95,7 +155,7 @@ def test_degrees_and_loops(spark):
 
 @pytest.fixture(scope="module")
 def found(spark):
-    rows = [("fn1", "handleAuth", "Function", "src/auth.ts", 10, True), ("fn2", "handleLogin", "Function", "src/auth.ts", 25, True), ("fn3", "validateToken", "Function", "src/auth/token.ts", 5, True), ("cls1", "UserService", "Class", "src/services/user.ts", 1, True), ("fn4", "getUser", "Method", "src/services/user.ts", 15, True), ("fn5", "parseConfig", "Function", "src/config.ts", 1, False)]
+    rows = [("o1", "bakeBread", "Function", "shop/oven.go", 3, True), ("o2", "bakeCake", "Function", "shop/oven.go", 9, False), ("t1", "weighFlour", "Method", "shop/oven/scale.go", 2, False), ("c1", "Till", "Class", "front/desk/till.go", 1, True), ("c2", "openTill", "Method", "front/desk/till.go", 8, False), ("k1", "readMenu", "Function", "menu.go", 1, False)]
     own = nodes(spark, [dict(zip(("id", "name", "label", "file_path", "start_line", "is_exported"), r, strict=True)) for r in rows])
     return own, search.build(own)
 
@@ -104,58 +164,139 @@ def names(df):
     return [r.name for r in df.collect()]
 
 
-def test_search(found):
-    _, index = found
-    assert names(search.search(index, "handleAuth"))[0] == "handleAuth"
-    assert len(names(search.search(index, "auth.ts"))) >= 2
-    assert len(names(search.search(index, "auth"))) >= 2
-    assert names(search.search(index, "nonexistent_xyz")) == []
-    top = search.search(index, "UserService").first()
-    assert (top.name, top.label, top.is_exported) == ("UserService", "Class", True)
+def by_hand(rows, words):
+    """BM25 over three fields, from the definition. rows: (id, name, path)."""
+    cut = lambda t: [w.lower() for w in re.findall(r"[^\W_]+", t)]
+    score = {}
+    for field in ("name", "path", "file"):
+        docs = {i: cut(n if field == "name" else p if field == "path" else p.rsplit("/", 1)[-1]) for i, n, p in rows}
+        average = sum(map(len, docs.values())) / len(docs)
+        for w in words:
+            df = sum(w in t for t in docs.values())
+            for i, t in docs.items():
+                if tf := t.count(w):
+                    score[i] = score.get(i, 0) + math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / average))
+    return score
+
+
+def test_search_scores(spark):
+    rng = random.Random(6)
+    some = ["oven", "till", "menu", "flour", "bread", "cake"]
+    rows = [(f"s{k}", " ".join(rng.choices(some, k=rng.randint(1, 4))), "/".join(rng.choices(some, k=rng.randint(1, 3))) + ".go") for k in range(80)]
+    index = search.build(nodes(spark, [{"id": i, "name": n, "file_path": p} for i, n, p in rows]))
+    for words in (["oven"], ["till", "cake"], ["menu", "menu", "flour"], ["nothing"]):
+        want = by_hand(rows, words)
+        got = search.search(index, " ".join(words), 100).collect()
+        assert {r.node_id: r.score for r in got} == {i: pytest.approx(x, abs=1e-5) for i, x in want.items()}
+        assert [r.node_id for r in got] == [i for i, _ in sorted(want.items(), key=lambda x: (-round(x[1], 6), x[0]))]
 
 
 def test_search_language(found):
     own, index = found
-    assert names(search.search(index, "auth -name:handleLogin -validateToken")) == ["handleAuth"]
-    assert set(names(search.search(index, "+auth AND token"))) == {"validateToken"}
+    assert names(search.search(index, "oven -name:bakeBread -scale")) == ["bakeCake"]
+    assert set(names(search.search(index, "+oven AND scale"))) == {"weighFlour"}
+    assert set(names(search.search(index, '"front desk"'))) == {"Till", "openTill"}
     with pytest.raises(SearchError):
-        search.parse('"open')
-    assert names(search.query(own, index, '"ERSERV')) == []
-    assert names(search.query(own, index, "ERSERV")) == ["UserService"]
-    assert names(search.query(own, index, "ogi")) == ["handleLogin"]
+        search.parse('"never closed')
+    assert names(search.query(own, index, '"ENUX')) == []
+    assert names(search.query(own, index, "ADME")) == ["readMenu"]
+    assert names(search.query(own, index, "keca")) == ["bakeCake"]
 
 
 # --- analytics -------------------------------------------------------------------------------
 
 
-def test_two_triangles(spark):
-    own = nodes(spark, [{"id": f"{t}{i}", "file_path": f"src/{'auth' if t == 'a' else 'user'}/{t}{i}.ts"} for t in "ab" for i in (1, 2, 3)])
-    ties = edges(spark, [(f"{t}{i}", "CALLS", f"{t}{j}") for t in "ab" for i, j in ((1, 2), (2, 3), (3, 1))])
-    community, near = analytics.louvain(Graph(own, ties))
-    groups = {}
-    for r in community.collect():
-        groups.setdefault(r.community, set()).add(r.id)
-    assert sorted(map(sorted, groups.values())) == [["a1", "a2", "a3"], ["b1", "b2", "b3"]]
-    assert analytics.modularity(near, community) == pytest.approx(0.5)
-    c_nodes, members, _ = analytics.communities(Graph(own, ties))
-    assert sorted((r.name, r.symbol_count, r.cohesion) for r in c_nodes.collect()) == [("Auth", 3, 1.0), ("User", 3, 1.0)]
-    assert members.count() == 6
+def one_by_one(ties, resolution=1.0):
+    """Louvain's local moves of one node after the other, until none helps: a division and its modularity."""
+    near = {}
+    for a, b in ties:
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, {})[y] = near.setdefault(x, {}).get(y, 0) + 1
+    k = {x: sum(n.values()) for x, n in near.items()}
+    m2, home, sigma = sum(k.values()), {x: x for x in near}, dict(k)
+    moved = True
+    while moved:
+        moved = False
+        for x in sorted(near):
+            links = {}
+            for y, w in near[x].items():
+                links[home[y]] = links.get(home[y], 0) + w
+            own = home[x]
+            sigma[own] -= k[x]
+            best = max(sorted(links | {own: 0}), key=lambda c: links.get(c, 0) / m2 - resolution * k[x] * sigma[c] / (m2 * m2))
+            if links.get(best, 0) / m2 - k[x] * sigma[best] / (m2 * m2) <= links.get(own, 0) / m2 - k[x] * sigma[own] / (m2 * m2) + 1e-12:
+                best = own
+            sigma[best] += k[x]
+            moved |= best != own
+            home[x] = best
+    inside = sum(w for x, n in near.items() for y, w in n.items() if home[x] == home[y])
+    return home, inside / m2 - resolution * sum(s * s for s in sigma.values()) / (m2 * m2)
+
+
+@pytest.mark.parametrize("groups, size, inner, outer", [(2, 3, 1.0, 0.0), (6, 12, 0.5, 0.01), (10, 20, 0.3, 0.01)])
+def test_communities_are_about_as_good_as_moves_one_by_one(spark, groups, size, inner, outer):
+    rng = random.Random(groups)
+    ids = [f"g{g}m{m:02}" for g in range(groups) for m in range(size)]
+    ties = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if rng.random() < (inner if a[:-3] == b[:-3] else outer)]
+    own = nodes(spark, [{"id": i, "file_path": f"src/{i.split('m')[0]}/{i}.go"} for i in ids])
+    g = Graph(own, edges(spark, [(a, "CALLS", b) for a, b in ties]))
+    community, near = analytics.louvain(g)
+    assert analytics.modularity(near, community) >= one_by_one(ties)[1] - 0.05
+    if not outer:
+        found = {}
+        for r in community.collect():
+            found.setdefault(r.community, set()).add(r.id)
+        assert sorted(map(sorted, found.values())) == [[i for i in ids if i.startswith(f"g{k}m")] for k in range(groups)]
+        c_nodes, members, _ = analytics.communities(g)
+        assert sorted((r.name, r.symbol_count, r.cohesion) for r in c_nodes.collect()) == [(f"G{k}", size, 1.0) for k in range(groups)]
+        assert members.count() == len(ids)
 
 
 def test_no_communities(spark):
     assert analytics.communities(Graph(nodes(spark, [{"id": "a"}]), edges(spark, [("a", "CALLS", "gone")])))[0].count() == 0
 
 
+def traced(arcs, start, max_depth, branching, most):
+    """Paths from a start, by hand: the least callees first, and the first paths of each length."""
+    near = {}
+    for a, b in sorted(set(arcs)):
+        near.setdefault(a, []).append(b)
+    done, live = [], [[start]]
+    for _ in range(max_depth - 1):
+        grown = []
+        for p in live:
+            nxt = [b for b in near.get(p[-1], []) if b not in p]
+            if not nxt:
+                done.append(p)
+            grown += [p + [b] for b in nxt[:branching]]
+        live = sorted(grown)[:most]
+    for p in live:
+        nxt = [b for b in near.get(p[-1], []) if b not in p]
+        done += [p] if not nxt else []
+    last = sorted(p + [b] for p in live for b in [b for b in near.get(p[-1], []) if b not in p][:branching])[:most]
+    return sorted(done + last, key=lambda p: (len(p), p))[:most]
+
+
+@pytest.mark.parametrize("depth, branching, most", [(3, 2, 500), (5, 3, 500), (4, 4, 6)])
+def test_traces_are_paths_by_hand(spark, depth, branching, most):
+    rng = random.Random(depth)
+    arcs = [(f"n{rng.randrange(14):02}", f"n{rng.randrange(14):02}") for _ in range(45)] + [("n00", f"n{k:02}") for k in range(1, 14)]
+    starts = ["n00", "n05", "alone"]
+    got = analytics.trace(spark.createDataFrame([(s,) for s in starts], "id string"), spark.createDataFrame(arcs, "at string, to string"), depth, branching, most).collect()
+    for s in starts:
+        assert sorted(r.path for r in got if r.entry == s) == sorted(traced(arcs, s, depth, branching, most))
+
+
 def test_processes(spark):
-    steps = ["handleRequest", "authenticate", "getUser", "formatResponse"]
-    ties = edges(spark, list(zip(steps, ["CALLS"] * 3, steps[1:], strict=False)))
+    steps = ["startShift", "heatOven", "kneadDough", "sellBread", "countTill"]
+    ties = edges(spark, list(zip(steps, ["CALLS"] * 4, steps[1:], strict=False)))
     none = spark.createDataFrame([], "id string, community_id string")
     made, step_edges, stats = analytics.processes(Graph(nodes(spark, [{"id": s} for s in steps]), ties), none)
     first = made.first()
-    assert (first.id, first.name, first.step_count, first.process_type) == ("proc_0_handleRequest", "HandleRequest -> FormatResponse", 4, "intra_community")
+    assert (first.id, first.name, first.step_count, first.process_type) == ("proc_0_startShift", "StartShift -> CountTill", 5, "intra_community")
     assert sorted((r.step, r.source_id) for r in step_edges.collect()) == list(enumerate(steps, 1))
-    assert stats["total_processes"] == 1 and stats["avg_step_count"] == 4.0
-    tests = nodes(spark, [{"id": s, "file_path": f"src/__tests__/{s}.test.ts"} for s in steps])
+    assert stats["total_processes"] == 1 and stats["avg_step_count"] == 5.0
+    tests = nodes(spark, [{"id": s, "file_path": f"shop/__tests__/{s}.spec.ts"} for s in steps])
     assert analytics.processes(Graph(tests, ties), none)[0].count() == 0
 
 
@@ -177,7 +318,7 @@ def test_diff(spark):
     assert (s.symbols_added, s.symbols_removed, s.symbols_modified, s.symbols_moved, s.symbols_unchanged) == (1, 1, 1, 1, 0)
     assert {r.canonical_id: r.status for r in got["records"].collect()} == {"src/a.ts::foo::1": "modified", "src/new.ts::bar::1": "moved", "src/new.ts::baz::9": "added", "removed::src/old.ts::gone::10": "removed"}
     again = diff.diff(base, base, bh, bh)["summary"].first().asDict()
-    assert {k for k, v in again.items() if v} == {"files_unchanged", "symbols_unchanged"}
+    assert {k for k, v in again.items() if v} == {"base_ref", "head_ref", "files_unchanged", "symbols_unchanged"}
 
 
 # --- resolution ------------------------------------------------------------------------------
@@ -255,8 +396,8 @@ def test_calls(spark):
     made = spark.createDataFrame([(i, "me", n, r, "app.ts") for i, n, r in calls], "call_id long, caller_id string, callee_name string, receiver string, from_file string")
     got = {(r.call_id, r.target_id): (round(r.confidence, 6), r.reason) for r in resolve.resolve_calls(made, own, bound, imported, heritage).collect()}
     assert got == {
-        (1, "app.ts::greet::1"): (0.95, "same-file"),
-        (2, "user.ts::User::1"): (0.9, "import-resolved"),
+        (1, "app.ts::greet::1"): (0.95, "same-file call"),
+        (2, "user.ts::User::1"): (0.9, "import-scoped call"),
         (3, "user.ts::save::5"): (0.9, "receiver-typed method call"),
         (4, "impl.ts::store::4"): (0.7, "interface-dispatch"),
         (5, "solo.ts::solo::1"): (0.4, "untyped method call"),
