@@ -145,8 +145,9 @@ def passes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
 _MARKS = "items array<string>, spans array<struct<first:int,last:int>>"
 
 
-def _marked(docs: DataFrame, shared, window: int) -> DataFrame:
-    """docs: doc_id, text, n_words, items, spans; the last two with what these items add."""
+def _marked(docs: DataFrame, shared, window: int, with_text: bool) -> DataFrame:
+    """docs: doc_id, text, n_words, items, spans; the last two with what these items add, and without the text after the last pass."""
+    out = docs.schema if with_text else docs.drop("text").schema
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -164,9 +165,11 @@ def _marked(docs: DataFrame, shared, window: int) -> DataFrame:
                 counts.append(len(words))
                 items.append(sorted(i for i in found if i is not None))
                 spans.append(runs(hit))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, kind)], b.schema.names)
+            texts = [b.column(1)] if with_text else []
+            yield pa.RecordBatch.from_arrays([b.column(0), *texts, pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, kind)], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    names = out.names
+    return docs.mapInArrow(run, out)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, table_bytes: int = 512 << 20) -> DataFrame:
@@ -176,7 +179,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     now = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), *nothing)
     parts = passes(benchmark, table_bytes=table_bytes)
     for k, shared in enumerate(parts):
-        now = _marked(now, shared, window)
+        now = _marked(now, shared, window, k + 1 < len(parts))
         if k + 1 < len(parts):
             now = staged(now, "marked")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)

@@ -403,8 +403,10 @@ def similar_components(fps: DataFrame, radius: int = WIDE_RADIUS, similarity: fl
     """The same for wide fingerprints whose sets of shingles are similar. fps: doc_id, fp, keys, shingles.
 
     First without the sets: what fingerprints in the bands' shards link. Then each component of this
-    is a shard, with the sets, and only similar texts are linked; one that is too large is dealt out by its bands.
+    is a shard, with the sets, and only similar texts are linked; one that is too large is dealt out by its bands. Comparing sets costs
+    more than comparing fingerprints, so these shards are an eighth as large.
     """
+    some = max(2, shard_rows // 8)
     nodes = _nodes(fps, F.min("keys").alias("keys"))
     coarse = stars(links(by_bands(nodes), radius, shard_rows))
     member = coarse.select(F.col("v.fp").alias("fp"), F.xxhash64("root.fp").alias("home")).unionByName(coarse.select(F.col("root.fp").alias("fp"), F.xxhash64("root.fp").alias("home")).distinct())
@@ -413,11 +415,11 @@ def similar_components(fps: DataFrame, radius: int = WIDE_RADIUS, similarity: fl
     sets = fps.join(own, same).groupBy(own["fp"].alias("fp")).agg(F.min(fps["shingles"]).alias("shingles"))
     laid = staged(own.join(sets, "fp").select("node", "keys", "home", "shingles"), "members-shingles")
     dealt = laid.select("node", F.lit(-1).alias("choice"), F.col("home").alias("bits"), "shingles")
-    large = large_shards(dealt, shard_rows)
+    large = large_shards(dealt, some)
     if not large.isEmpty():
         hot = laid.join(large.select(F.col("bits").alias("home")), "home", "left_semi").select("node", F.posexplode("keys").alias("choice", "bits"), "shingles")
         dealt = dealt.join(large.select("bits"), "bits", "left_anti").select("node", "choice", "bits", "shingles").unionByName(hot)
-    return _settled(nodes, stars(links(dealt, radius, shard_rows, similarity)))
+    return _settled(nodes, stars(links(dealt, radius, some, similarity)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
