@@ -62,9 +62,26 @@ def a2_louvain_sweep(v: Views) -> DataFrame:
     return analytics.louvain_sweep(near, degree, first, m2, 1.0, upward=False)
 
 
-@query()
+def _sweep(k: int) -> str:
+    """The k-th sweep, as the one above: to smaller numbers first, then to larger ones, in turn."""
+    c, side = f"c{k - 1}", "<" if k % 2 else ">"
+    return f"""s{k} AS MATERIALIZED (SELECT community, sum(k) AS sigma FROM {c} JOIN deg USING (id) GROUP BY community), l{k} AS MATERIALIZED (SELECT src AS id, m.community AS target, sum(weight) AS links FROM near JOIN {c} m ON m.id = dest GROUP BY src, m.community),
+o{k} AS MATERIALIZED (SELECT m.id, m.community, deg.k, s.sigma - deg.k AS sigma_own, coalesce(l.links, 0) AS links_own FROM {c} m JOIN deg USING (id) JOIN s{k} s USING (community) LEFT JOIN l{k} l ON l.id = m.id AND l.target = m.community),
+g{k} AS (SELECT o.id, l.target, round((l.links - o.links_own) / m2 - o.k * (s.sigma - o.sigma_own) / (m2 * m2), 15) AS gain FROM o{k} o JOIN l{k} l ON l.id = o.id JOIN s{k} s ON s.community = l.target, tot WHERE l.target {side} o.community),
+c{k} AS MATERIALIZED (SELECT m.id, coalesce(moved, m.community) AS community FROM {c} m LEFT JOIN (SELECT id, arg_max(target, (gain, -target)) AS moved FROM g{k} WHERE gain > 0 GROUP BY id) b USING (id))"""
+
+
+SWEEPS = 20
+# numbers by the order of the ids; sweeps that move nothing change nothing, so all of them are written out
+_LOUVAIN = """ev AS (SELECT source_id AS a, target_id AS b FROM event_edges WHERE confidence >= 0.5 AND source_id <> target_id), near AS MATERIALIZED (SELECT a AS src, b AS dest, count(*) AS weight FROM (SELECT a, b FROM ev UNION ALL SELECT b, a FROM ev) x GROUP BY a, b),
+deg AS MATERIALIZED (SELECT src AS id, sum(weight) AS k FROM near GROUP BY src), tot AS (SELECT CAST(sum(weight) AS DOUBLE) AS m2 FROM near), c0 AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS community FROM deg), """ + ", ".join(_sweep(k) for k in range(1, SWEEPS + 1)) + f", com AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY community) AS community FROM c{SWEEPS})"
+
+
+@query(f"WITH {_LOUVAIN} SELECT id, community FROM com")
 def a2_louvain(v: Views) -> DataFrame:
-    return analytics.louvain(events(v))[0]
+    """Each node with its community, named by its first member."""
+    found = analytics.louvain(events(v), sweeps=SWEEPS)[0]
+    return found.join(found.groupBy("community").agg(F.min("id").alias("first")), "community").select("id", F.col("first").alias("community"))
 
 
 @query(f"WITH {_MEMBERS} SELECT community, count(*) AS size, min(id) AS first, row_number() OVER (ORDER BY count(*) DESC, min(id)) - 1 AS position FROM members GROUP BY community HAVING count(*) >= 2")
@@ -72,12 +89,6 @@ def a3_ranked_communities(v: Views) -> DataFrame:
     return analytics.ranked_communities(members(v))
 
 
-@query()
-def a3_communities(v: Views) -> DataFrame:
-    nodes, edges, _ = analytics.communities(events(v))
-    return nodes.select("id", "name", "cohesion", "symbol_count").join(edges.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("members")), "id")
-
-
 _GENERIC = ", ".join(f"'{f}'" for f in analytics.GENERIC_FOLDERS)
 
 
@@ -88,6 +99,17 @@ def a4_community_labels(v: Views) -> DataFrame:
     return analytics.community_labels(own, v.nodes)
 
 
+# two members and more, the largest first; a name by the folder that most have; of the first 50 members the links that stay inside
+@query(f"""WITH {_LOUVAIN}, rk AS (SELECT community, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, min(id)) - 1 AS position FROM com GROUP BY community HAVING count(*) >= 2),
+fo AS (SELECT community, string_split(file_path, '/')[-2] AS folder, count(*) AS n FROM com JOIN event_nodes USING (id) GROUP BY ALL), be AS (SELECT community, min(folder) AS folder FROM fo JOIN (SELECT community, max(n) AS n FROM fo GROUP BY community) x USING (community, n) GROUP BY community),
+fi AS (SELECT id, community FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY id) AS i FROM com) x WHERE i <= 50), sh AS (SELECT fi.community, sum(CASE WHEN com.community = fi.community THEN weight ELSE 0 END) / sum(weight) AS share FROM fi JOIN near ON src = fi.id LEFT JOIN com ON com.id = dest GROUP BY fi.community)
+SELECT 'comm_' || position AS id, upper(folder[1]) || folder[2:] AS name, round(share, 6) AS cohesion, CAST(size AS INT) AS symbol_count, size AS members FROM rk JOIN be USING (community) JOIN sh USING (community)""")
+def a3_communities(v: Views) -> DataFrame:
+    nodes, edges, _ = analytics.communities(events(v))
+    sizes = edges.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("members"))
+    return nodes.select("id", "name", F.round("cohesion", 6).alias("cohesion"), "symbol_count").join(sizes, "id")
+
+
 @query(f"""WITH {_NEAR}, {_MEMBERS}, r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY id) AS k FROM members),
 l AS (SELECT r.community, m.community AS other, weight FROM r JOIN near ON near.src = r.id LEFT JOIN members m ON m.id = dest WHERE k <= 50), s AS (SELECT community, sum(CASE WHEN other = community THEN weight ELSE 0 END) / sum(weight) AS share FROM l GROUP BY community)
 SELECT m.community, round(coalesce(share, 1.0), 6) AS cohesion FROM (SELECT DISTINCT community FROM members) m LEFT JOIN s USING (community)""")
