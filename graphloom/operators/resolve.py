@@ -61,18 +61,21 @@ def _lead_to(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """from_file, module_path, target. wanted: from_file, module_path, spec.
 
     A relative path is the file itself, or that with an ending; a bare one is the longest tail of it that is the suffix of one
-    file only, or that with an ending. Both kinds of keys are joined at once, so the imports are read once.
+    file only, or that with an ending. Where one leads hangs on the specifier, and on the folder if it is relative, so each
+    such pair is settled once, however many files import it; both kinds of keys are joined at once.
     """
+    relative = _relative(F.col("spec"))
+    asked = wanted.withColumn("dir", F.when(relative, X.dirname(F.col("from_file"))).otherwise(""))
     spec = F.col("spec")
-    relative = _relative(spec)
     dotted = F.when(spec.contains("/"), spec).otherwise(F.replace(spec, F.lit("."), F.lit("/")))
     bare = F.array_join(F.filter(F.split(dotted, "/"), lambda p: p != ""), "/")
-    bases = F.when(relative, F.array(normalized(X.dirname(F.col("from_file")), spec))).otherwise(X.suffixes(bare))
-    asked = wanted.select("from_file", "module_path", relative.alias("relative"), F.posexplode(bases).alias("tail", "base")).filter("base <> ''")
+    bases = F.when(relative, F.array(normalized(F.col("dir"), spec))).otherwise(X.suffixes(bare))
+    keys = asked.select("dir", "spec").distinct().select("dir", "spec", relative.alias("relative"), F.posexplode(bases).alias("tail", "base")).filter("base <> ''")
     whole = stems(files.select(F.col("path").alias("key"), F.col("path").alias("target"))).withColumn("relative", F.lit(True))
     ends = stems(suffix_index(files).filter("n = 1").select(F.col("suffix").alias("key"), F.col("file").alias("target"))).withColumn("relative", F.lit(False))
-    hits = asked.join(whole.unionByName(ends), ["relative", "base"])
-    return hits.groupBy("from_file", "module_path").agg(F.min_by("target", F.struct("tail", "variant")).alias("target"))
+    hits = keys.join(whole.unionByName(ends), ["relative", "base"])
+    settled = hits.groupBy("dir", "spec").agg(F.min_by("target", F.struct("tail", "variant")).alias("target"))
+    return asked.join(settled, ["dir", "spec"]).select("from_file", "module_path", "target")
 
 
 def specifiers(imports: DataFrame) -> DataFrame:
