@@ -260,6 +260,8 @@ class Tagger:
 
     #: Shapes that are remembered, and the bytes of the longest (a longer one is computed each time).
     KEEP, KEEP_SHAPE = 100_000, 64
+    #: Words of a line from which on it is decoded in pieces at once.
+    LONG = 4096
 
     def __init__(self, crf: CRF):
         import numpy as np
@@ -306,10 +308,23 @@ class Tagger:
         left[first], right[first + size - 1] = none_before, none_after
         emit += self.around[left]
         emit += self.around[right]
-        back = np.zeros((len(flat), self.n_labels), np.int8)
+        path = np.zeros(len(flat), np.int8)
+        many = int(np.searchsorted(-size, -self.LONG, side="right"))  # long lines, which come first
+        for k in range(many):
+            path[first[k] : first[k] + size[k]] = self._long(emit[first[k] : first[k] + size[k]])
+        if many < len(order):
+            self._short(emit, first[many:], size[many:], path)
+        hit = np.flatnonzero(np.add.reduceat(path != 0, first))
+        return [(order[k], path[first[k] : first[k] + size[k]].tolist()) for k in hit]
+
+    def _short(self, emit, first, size, path) -> None:
+        """Viterbi for lines that begin at `first`, the longest first, a step for all lines at once."""
+        import numpy as np
+
+        back = np.zeros(emit.shape, np.int8)
         score = emit[first] + self.crf.start
-        move, live = self.crf.steps, len(order)
-        ends = np.zeros(len(order), np.int8)
+        move, live = self.crf.steps, len(first)
+        ends = np.zeros(len(first), np.int8)
         alive_at = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # lines of at least t + 1 words
         for t in range(1, int(size[0])):
             n = int(alive_at[t])
@@ -321,7 +336,6 @@ class Tagger:
             back[first[:n] + t] = best
             score = np.take_along_axis(reach, best[:, None, :], 1)[:, 0] + emit[first[:n] + t]
         ends[:live] = score[:live].argmax(1)
-        path = np.zeros(len(flat), np.int8)
         now = ends.copy()
         path[first + size - 1] = ends
         for t in range(int(size[0]) - 1, 0, -1):
@@ -329,8 +343,49 @@ class Tagger:
             at = first[:n] + t
             now[:n] = back[at, path[at]]
             path[at - 1] = now[:n]
-        hit = np.flatnonzero(np.add.reduceat(path != 0, first))
-        return [(order[k], path[first[k] : first[k] + size[k]].tolist()) for k in hit]
+
+    def _long(self, emit):
+        """Viterbi for one line, in about twice the root of its length of steps: the best scores from each label before a piece to each label
+        at its end for all pieces at once, then piece after piece, then back within all pieces at once."""
+        import numpy as np
+
+        n, labels, move = len(emit), self.n_labels, self.crf.steps
+        m = int(np.ceil(np.sqrt(n)))
+        pieces = (n - 1) // m
+        head = n - pieces * m  # words before the pieces, one at least
+        score = emit[0] + self.crf.start
+        back = np.zeros((head, labels), np.int8)
+        for t in range(1, head):
+            reach = score[:, None] + move
+            back[t] = reach.argmax(0)
+            score = reach.max(0) + emit[t]
+        own = emit[head:].reshape(pieces, m, labels)
+        best = move[None] + own[:, 0, None, :]  # piece, label before it, label now
+        came = np.zeros((pieces, m, labels, labels), np.int8)
+        for t in range(1, m):
+            reach = best[:, :, :, None] + move[None, None]
+            came[:, t] = reach.argmax(2)
+            best = reach.max(2) + own[:, t, None, :]
+        before = np.zeros((pieces, labels), np.int8)
+        for s in range(pieces):
+            reach = score[:, None] + best[s]
+            before[s], score = reach.argmax(0), reach.max(0)
+        ends, starts = np.zeros(pieces, np.int64), np.zeros(pieces, np.int64)
+        now = int(score.argmax())
+        for s in range(pieces - 1, -1, -1):
+            ends[s], now = now, int(before[s, now])
+            starts[s] = now
+        path = np.zeros(n, np.int8)
+        inside = path[head:].reshape(pieces, m)
+        each, at = np.arange(pieces), ends
+        inside[:, m - 1] = at
+        for t in range(m - 1, 0, -1):
+            at = came[each, t, starts, at]
+            inside[:, t - 1] = at
+        for t in range(head - 1, -1, -1):
+            path[t] = now
+            now = int(back[t, now])
+        return path
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """The CRF's spans of each text, in code points."""

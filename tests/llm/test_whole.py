@@ -193,3 +193,19 @@ def test_crf_recall_on_generated_lines():
     hit, told, made_up = sum(len(g & w) for g, w in zip(got, want, strict=True)), sum(map(len, want)), sum(map(len, got))
     print("recall", hit / told, "precision", hit / made_up)
     assert hit >= 0.9 * told and hit >= 0.9 * made_up
+
+
+def test_long_lines_are_decoded_alike():
+    """In pieces as word by word, and in a time that a long line has to have."""
+    rng = random.Random(12)
+    table = pii.read_table(pii.LABELLED)
+    words = [w for shapes, _ in table for w in shapes]
+    crf = pii.train()
+    for n in (2, 3, 10, 101, 1000, 5003):
+        line = [rng.choice(words) for _ in range(n)] if n < 1000 else [w for _ in range(n // 8) for w in rng.choice(table)[0]][:n]
+        plain, pieces = pii.Tagger(crf), pii.Tagger(crf)
+        plain.LONG, pieces.LONG = 10**9, 2
+        assert plain.decode([line, words[:7]]) == pieces.decode([line, words[:7]])
+    began = time.time()
+    text = "word 555-123-4567 and so on " * 50_000
+    assert len(pii.Tagger(crf).spans([text])[0]) == 50_000 and time.time() - began < 30
