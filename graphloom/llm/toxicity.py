@@ -37,7 +37,7 @@ class Settings:
     least_z: float = 5.0  # standard errors between a feature's shares of positive and of unlabelled texts
     steps: int = 150
     rate: float = 0.1
-    shrink: float = 2e-4
+    shrink: float = 5e-4
     prior: float | None = None  # None: the share of positives in the labelled training rows
 
 
