@@ -35,9 +35,9 @@ class Settings:
     max_positive: int = 4_000
     max_unlabelled: int = 12_000
     least_z: float = 5.0  # standard errors between a feature's shares of positive and of unlabelled texts
-    steps: int = 150
+    steps: int = 300
     rate: float = 0.1
-    shrink: float = 5e-4
+    shrink: float = 0.15  # of the weights, divided by the number of positives
     prior: float | None = None  # None: the share of positives in the labelled training rows
 
 
@@ -112,8 +112,11 @@ def train(positive: list, unlabelled: list, prior: float, settings: Settings = S
         return np.concatenate(cols) if cols else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), sizes), len(rows)
 
     sets = [sparse(positive), sparse(unlabelled)]
+    shrink = settings.shrink / n_p
     w, b = np.zeros(len(use)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    # steps go to and fro where the risk's negative part is corrected, so the last third's mean is the model
+    mean_w, mean_b, last = np.zeros_like(w), 0.0, settings.steps - settings.steps // 3
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, settings.steps + 1):
         score = [b + np.bincount(r, w[c], n) for c, r, n in sets]
@@ -125,14 +128,17 @@ def train(positive: list, unlabelled: list, prior: float, settings: Settings = S
         else:
             g_p, g_u = prior * s_p, -s_u
         (cp, rp, n_p), (cu, ru, n_u) = sets
-        g = np.bincount(cp, (g_p / n_p)[rp], len(use)) + np.bincount(cu, (g_u / n_u)[ru], len(use)) + settings.shrink * w
+        g = np.bincount(cp, (g_p / n_p)[rp], len(use)) + np.bincount(cu, (g_u / n_u)[ru], len(use)) + shrink * w
         gb = g_p.mean() + g_u.mean()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
         w -= settings.rate * (m / c1) / (np.sqrt(v / c2) + 1e-6)
         b -= settings.rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
-    keep = np.abs(w) > 1e-4
-    return Model(settings.dims, use[keep], w[keep], float(b))
+        if step > last:
+            mean_w += w / (settings.steps - last)
+            mean_b += b / (settings.steps - last)
+    keep = np.abs(mean_w) > 1e-4
+    return Model(settings.dims, use[keep], mean_w[keep], float(mean_b))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[list, list, float]:
