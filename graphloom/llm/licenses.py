@@ -46,7 +46,7 @@ TEMPLATES = {
     "All-rights-reserved": "All rights reserved.",
 }
 
-_CUE = re.compile(r"licen[sc]e|copyright|all rights reserved|redistribut|permission is hereby|public domain|creative commons|spdx", re.I | re.A)
+_CUE = re.compile(r"licen[sc]e|copyright|all\s+rights\s+reserved|redistribut|permission\s+is\s+hereby|public\s+domain|creative\s+commons|spdx", re.I | re.A)
 _LINE = re.compile(r"[^\n]+")
 _WORD = re.compile(r"\w+(?:[.\-]\w+)*")
 _TAIL = re.compile(r"[^\w\s]*")

@@ -1,10 +1,12 @@
 """The text operators look at the whole of each text."""
+import os
 import random
 import time
 
-from test_llm import LABELS, frame, learning_rows, slow_hits, slow_secrets, texts  # noqa: F401
+import pytest
+from test_llm import LABELS, auc, frame, learning_rows, slow_hits, slow_secrets, texts  # noqa: F401
 
-from graphloom.llm import decontam, licenses, pii, quality, quality_rules, secrets_scan, simhash, toxicity
+from graphloom.llm import decontam, entry, licenses, pii, quality, quality_rules, secrets_scan, simhash, toxicity
 from graphloom.llm.common import crc_fold
 
 
@@ -209,3 +211,44 @@ def test_long_lines_are_decoded_alike():
     began = time.time()
     text = "word 555-123-4567 and so on " * 50_000
     assert len(pii.Tagger(crf).spans([text])[0]) == 50_000 and time.time() - began < 30
+
+
+@pytest.mark.parametrize("f, column, caught, left", [(entry.op1_quality, "quality", 0.95, 0.9), (entry.op10_toxicity, "toxic", 0.85, 0.97)])
+def test_held_out_accuracy(spark, f, column, caught, left):
+    """On 10,000 documents: labels of the fold that nothing was learnt from."""
+    at = "/root/testdata/sf0.1"
+    if not os.path.isdir(at):
+        pytest.skip("no test tables here")
+    told = {r[0]: r[1] for r in spark.read.parquet(f"{at}/labels.parquet").select("doc_id", column).collect()}
+    got = [(r.score, told[r.doc_id]) for r in f(spark, at).select("doc_id", "held_out", "score").collect() if r.held_out and r.doc_id in told]
+    up, down = [s for s, y in got if y], [s for s, y in got if not y]
+    assert len(up) > 50 and len(down) > 50
+    assert auc(got) > 0.95
+    assert sum(s >= 0.5 for s in up) >= caught * len(up) and sum(s < 0.5 for s in down) >= left * len(down)
+
+
+def test_planted_notices_are_found():
+    """Notices in prose, wrapped anywhere, some with a word changed: which ones, and where they begin and end."""
+    rng = random.Random(17)
+    some = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    prose = lambda: " ".join(rng.choice(some) for _ in range(rng.randint(0, 60)))
+    own = licenses.Matcher()
+    right = told = 0
+    for k in range(400):
+        name = rng.choice(list(licenses.TEMPLATES))
+        words = licenses.TEMPLATES[name].split(" ")
+        changed = len(words) > 25 and k % 2
+        if changed:
+            words[rng.randrange(3, len(words) - 3)] = "zzz"
+        before, after = prose(), prose()
+        notice = "".join(w + rng.choice([" ", " ", " ", "\n"]) for w in words[:-1]) + words[-1]
+        text = f"{before} {notice} {after}"
+        got = own.notices(text)
+        told += 1
+        if changed:
+            right += len(got) == 1 and (got[0]["licence"] == name or abs(got[0]["end"] - got[0]["start"] - len(notice)) < 0.3 * len(notice))
+        else:
+            right += len(got) == 1 and got[0]["licence"] == name and text[got[0]["start"] : got[0]["end"]] == notice
+        assert own.notices(f"{before} {after} licence {prose()} redistribute {prose()}") == []
+    print("planted notices found", right, "of", told)
+    assert right >= 0.99 * told
