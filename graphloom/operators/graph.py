@@ -27,8 +27,9 @@ class Graph:
 
 
 def upsert(old: DataFrame, new: DataFrame, order: Column | None = None) -> DataFrame:
-    """Rows of both by `id`; a new row replaces an old one, and of several new ones the last by `order` (a column of `new`) stays."""
-    rank = order if order is not None else F.lit(0)
+    """Rows of both by `id`; a new row replaces an old one, and of several new ones the last by `order` (a column of `new`; the
+    rows' order in the table, if it isn't given) stays."""
+    rank = order if order is not None else F.monotonically_increasing_id()
     both = old.select(F.lit(0).alias("_new"), F.lit(None).cast("long").alias("_rank"), *old.columns).unionByName(new.select(F.lit(1).alias("_new"), rank.cast("long").alias("_rank"), *old.columns))
     # a struct maximum aggregates before the shuffle, where row_number() would move and sort every row
     rest = F.struct(*[c for c in old.columns if c != "id"])

@@ -73,6 +73,14 @@ def enrich(linked: Graph, config: Config = Config()) -> tuple[Graph, dict]:
     return Graph(c_nodes.unionByName(p_nodes), c_edges.unionByName(p_edges)), stats
 
 
+def _digest(linked: Graph, config: Config) -> str:
+    """A hash of all that communities and flows depend on: calls and heritage, the symbols' names and places, settings."""
+    total = lambda *cols: F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
+    edges = linked.edges.filter(F.col("rel_type").isin(*analytics.CLUSTERING)).agg(F.count("*"), total("id", "confidence")).first()
+    nodes = linked.nodes.agg(F.count("*"), total("id", "label", "name", "file_path", "is_exported")).first()
+    return " ".join(map(str, (*edges, *nodes, config.community_resolution, config.max_processes, config.max_trace_depth)))
+
+
 def analyze(spark: SparkSession, root: str, out: str, config: Config = Config(), registry: store.Registry | None = None, link_all_folders: bool = False) -> Analysis:
     """Scan, parse what changed, and write the graph to `out` as a new generation.
 
@@ -111,6 +119,8 @@ def _analyze(spark: SparkSession, root: str, out: str, config: Config, registry:
     stats: dict = {}
     if old and not n["added"] and not n["deleted"] and known.filter("status = 'modified' and not facts <=> old_facts").isEmpty():
         made.keep("nodes", "edges", *kinds)
+        made.notes = old["notes"]
+        stats = made.notes.get("stats", {})
         made.put(conform(hashes, store.HASHES), "file_hashes")
     else:
         tables: dict[str, DataFrame | None] = facts_of.exploded(parsed)
@@ -133,9 +143,17 @@ def _analyze(spark: SparkSession, root: str, out: str, config: Config, registry:
         nodes = staged(tables["nodes"], "nodes") if any(tables[k] is not None for k in kinds) else tables["nodes"]
         linked = link(nodes, files, tables, link_all_folders, made.put)
         if tables["calls"] is not None or tables["heritage"] is not None:
-            more, stats = enrich(linked, config)
-            made.put(conform(more.nodes, NODES), "nodes")
-            made.put(store.laid(more.edges), "edges")
+            digest, notes = _digest(linked, config), old["notes"] if old else {}
+            if notes.get("digest") == digest:
+                # what communities and flows are made of is as it was
+                made.tables["nodes"].append(notes["more"][0])
+                made.tables["edges"].append(notes["more"][1])
+                stats = notes["stats"]
+            else:
+                more, stats = enrich(linked, config)
+                made.put(conform(more.nodes, NODES), "nodes")
+                made.put(store.laid(more.edges), "edges")
+            made.notes = {"digest": digest, "stats": stats, "more": [made.tables["nodes"][-1], made.tables["edges"][-1]]}
         made.put(conform(hashes, store.HASHES), "file_hashes")
     made.done()
     whole = store.load(spark, out)[0]

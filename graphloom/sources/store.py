@@ -74,6 +74,7 @@ class Generation:
         self.number = numbers[-1] + 1 if numbers else 1
         self.folder = f"{self.number}-{uuid.uuid4().hex[:8]}"
         self.tables: dict[str, list[str]] = {}
+        self.notes: dict = {}  # what else the manifest says
 
     def put(self, rows: DataFrame, name: str) -> DataFrame:
         """A part of a table, read back."""
@@ -89,7 +90,7 @@ class Generation:
     def done(self) -> None:
         fs, p = _path(self.spark, f"{self.path}/manifests/{self.number}.json")
         out = fs.create(p, True)
-        out.write(bytearray(json.dumps({"version": VERSION, "generation": self.number, "tables": self.tables}).encode()))
+        out.write(bytearray(json.dumps({"version": VERSION, "generation": self.number, "tables": self.tables, "notes": self.notes}).encode()))
         out.close()
         self._forget()
 

@@ -275,6 +275,21 @@ def test_a_comment_keeps_the_graph(spark, tmp_path):
     assert engine.analyze(spark, str(root), out).unchanged == 4
 
 
+def test_communities_are_kept_where_calls_are_the_same(spark, tmp_path):
+    root, out = tree(tmp_path / "repo", FILES), str(tmp_path / "graph")
+    engine.analyze(spark, str(root), out)
+    first = store.manifest(spark, out)
+    (root / "src/models/index.ts").write_text("export { User } from './user';\nimport '../app';\n")
+    b = engine.analyze(spark, str(root), out)
+    second = store.manifest(spark, out)
+    assert second["notes"] == first["notes"] and second["tables"]["edges"][0] != first["tables"]["edges"][0] and b.process_stats["total_processes"] == 1
+    c = engine.analyze(spark, str(root), str(tmp_path / "other"))
+    assert ids(b.graph.edges) == ids(c.graph.edges) and ids(b.graph.nodes) == ids(c.graph.nodes)
+    (root / "src/app.ts").write_text(FILES["src/app.ts"].replace("step2(); ", ""))
+    d = engine.analyze(spark, str(root), out)
+    assert store.manifest(spark, out)["notes"]["digest"] != first["notes"]["digest"] and d.modified == 1
+
+
 def test_walk_on_executors(spark, tmp_path):
     root = tree(tmp_path, {f"d{k}/e{k}/f{j}.ts": "" for k in range(6) for j in range(3)} | {".gitignore": "f1.ts\n", "d2/.gitignore": "!f1.ts\n", "top.ts": ""})
     want = sorted(p for p, _ in scan.walk(root) if p.endswith(".ts"))
