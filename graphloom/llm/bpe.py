@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import id_and_text, kept, session_of, sha, small_batches
 
 #: Pieces that are kept with their ids, and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
+CACHE_PIECES, CACHE_CHARS = 200_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -89,7 +89,7 @@ class Encoder:
         known = self.memo.get(key)
         if known is None:
             known = self.memo[key] = self._stable(left, right)
-            if len(self.memo) > 1_000_000:
+            if len(self.memo) > 300_000:
                 self.memo.clear()
         return known
 

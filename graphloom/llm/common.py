@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..staging import discard, remove, scratch, shared_dir, staged  # noqa: F401
 
 #: Rows and bytes in an Arrow batch. Texts may be long; a batch is what a Python worker holds at once.
-BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 128, 8 << 20
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -29,13 +29,29 @@ _kept: dict = {}
 
 def kept(key: tuple, make):
     """What a Python worker keeps between batches and tasks: one thing at a time, so that workers
-    that serve several operators don't pile up vocabularies and caches."""
+    that serve several operators don't pile up vocabularies and caches. What goes is given back to the system."""
     if key not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            _trim()
         _kept[key] = make()
     return _kept[key]
 
 
+def _trim() -> None:
+    """Freed memory that the C library holds; without that library's function, nothing."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def alone() -> None:
+    """For an operator that keeps nothing: what others have kept goes."""
+    kept(("nothing",), lambda: None)
+
+
 def token() -> str:
     """A name for something broadcast, other than any before."""
     return uuid.uuid4().hex

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import discard, id_and_text, session_of, small_batches, staged
+from .common import alone, discard, id_and_text, session_of, small_batches, staged
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED, SHINGLE, RADIUS, BITS = 42, 4, 4, 64
@@ -135,6 +135,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import numpy as np
         import pyarrow as pa
 
+        alone()
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
@@ -437,6 +438,7 @@ def with_sketches(docs: DataFrame, fp: str, keys: str, shingles: str, words: int
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        alone()
         for b in batches:
             own = [wide(t, words) for t in b.column(where).to_pylist()]
             cols = [pa.array([x[k] for x in own], kind) for k, kind in enumerate((pa.binary(), pa.list_(pa.int64()), pa.binary()))]

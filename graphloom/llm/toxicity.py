@@ -50,7 +50,7 @@ def _words():
 class Hasher:
     """Words to places; what a word hashes to is kept."""
 
-    KEEP = 200_000
+    KEEP = 100_000
 
     def __init__(self, dims: int):
         import xxhash
@@ -165,7 +165,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own = Hasher(dims)
+        own = kept(("hasher", dims), lambda: Hasher(dims))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.of(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "places"])
 
