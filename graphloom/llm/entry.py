@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, pii, quality, quality_rules, secrets_scan, shard, simhash, toxicity
+from . import bpe, decontam, licenses, pii, quality, quality_rules, secrets_scan, shard, simhash, sql, toxicity
 from .common import fold_of, table
 
 
@@ -123,4 +123,4 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _OP4, "op6_secrets": _secrets_sql()}
+    return {"op3_simhash": sql.simhash(), "op4_decontamination": _OP4, "op5_sharding": sql.sharding(), "op6_secrets": _secrets_sql()}

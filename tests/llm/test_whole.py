@@ -2,11 +2,13 @@
 import os
 import random
 import time
+import zlib
 
+import oracle
 import pytest
 from test_llm import LABELS, auc, frame, learning_rows, slow_hits, slow_secrets, texts  # noqa: F401
 
-from graphloom.llm import decontam, entry, licenses, pii, quality, quality_rules, secrets_scan, simhash, toxicity
+from graphloom.llm import decontam, entry, licenses, pii, quality, quality_rules, secrets_scan, simhash, sql, toxicity
 from graphloom.llm.common import crc_fold
 
 
@@ -252,3 +254,21 @@ def test_planted_notices_are_found():
         assert own.notices(f"{before} {after} licence {prose()} redistribute {prose()}") == []
     print("planted notices found", right, "of", told)
     assert right >= 0.99 * told
+
+
+@pytest.mark.parametrize("f", [entry.op3_simhash, entry.op5_sharding])
+def test_queries_against_sql(spark, tiny, f):
+    assert oracle.differences(f(spark, tiny), oracle.connect(tiny), entry.oracle_sql()[f.__name__]) == []
+
+
+def test_checksums_in_sql():
+    import duckdb
+    import xxhash
+
+    rng = random.Random(1)
+    some = {"", "a", "abcd", "abcdefgh", "é" * 5, "x" * 31, "y" * 32, "z" * 33, "w" * 5000} | {"".join(rng.choice("abc é😀") for _ in range(rng.randint(0, 150))) for _ in range(200)}
+    con = duckdb.connect()
+    con.execute("create table t(s varchar)")
+    con.executemany("insert into t values (?)", [(x,) for x in some])
+    got = con.sql(f"WITH {sql.xxh64('t', 's')} SELECT s, h, {sql.crc32('x')} FROM hashed").fetchall()
+    assert {s: (h, c) for s, h, c in got} == {s: (xxhash.xxh64_intdigest(s.encode(), 42), zlib.crc32(s.encode())) for s in some}
