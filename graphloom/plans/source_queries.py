@@ -374,11 +374,11 @@ def p17_signatures(v: Views) -> DataFrame:
     return nodes(v).select("id", "return_type", "visibility", "is_static", "is_async", "container_name")
 
 
-# names whose text has no key in it, or its remainder only
-_SAME, _BY_7 = "('size', 'load', 'meth', 'go', 'name', '__init__')", "('of')"
+# names whose text has no key in it, or its remainder only; the enumerations of two languages are written alike
+_SAME, _BY_7 = "('size', 'load', 'meth', 'go', 'name', '__init__', 'new')", "('of')"
 
 
-@query(f"""SELECT path || '::' || name || '::' || a AS id, CASE WHEN name IN {_SAME} THEN min(path || '::' || name || '::' || a) OVER (PARTITION BY name) WHEN name IN {_BY_7} THEN min(path || '::' || name || '::' || a) OVER (PARTITION BY name, p_partkey % 7) ELSE path || '::' || name || '::' || a END AS first_alike FROM {_NODES}""")
+@query(f"""SELECT path || '::' || name || '::' || a AS id, CASE WHEN name IN {_SAME} THEN min(path || '::' || name || '::' || a) OVER (PARTITION BY name) WHEN label = 'Enum' THEN min(path || '::' || name || '::' || a) OVER (PARTITION BY name) WHEN name IN {_BY_7} THEN min(path || '::' || name || '::' || a) OVER (PARTITION BY name, p_partkey % 7) ELSE path || '::' || name || '::' || a END AS first_alike FROM {_NODES}""")
 def p18_body_hashes(v: Views) -> DataFrame:
     """For each definition the first whose body's hash is the same: that of the same text."""
     own = staged(nodes(v).select("id", "body_hash"), "bodies")
