@@ -14,6 +14,7 @@ rows come back as often as they came in; other columns are ignored.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -174,6 +175,16 @@ def broadcast_vocabulary(spark, path: str, pattern: str):
     return spark.sparkContext.broadcast((key, ranks, last_merges(ranks), pattern))
 
 
+def lists(rows: list[array]):
+    """An Arrow column of lists from arrays of 4-byte numbers."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    flat = np.concatenate([np.frombuffer(r, np.int32) for r in rows]) if len(rows) and ends[-1] else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>, round_trip: whether the ids decode to the text's bytes (nulls count as empty)."""
     spark = session_of(docs)
@@ -185,10 +196,13 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
         own = _worker(vocabulary)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            ids = [own.encode(t) if t else [] for t in texts]
-            same = [own.decode(x) == (t or "").encode() for x, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], ["doc_id", "ids", "round_trip"])
+            ids, same = [], []
+            for k in range(b.num_rows):
+                text = b.column(1)[k].as_py() or ""
+                found = own.encode(text)
+                same.append(own.decode(found) == text.encode())
+                ids.append(array("i", found))  # four bytes for a token, where a list takes nine times as many
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(ids), pa.array(same, pa.bool_())], ["doc_id", "ids", "round_trip"])
 
     src = id_and_text(docs, id_col, text_col)
     return src.mapInArrow(run, f"doc_id {src.schema[0].dataType.simpleString()}, ids array<int>, round_trip boolean")
@@ -205,8 +219,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
         own = _worker(vocabulary)
         for b in batches:
-            ids = [own.encode(t) if t else [] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
+            ids = [array("i", own.encode(t) if t else []) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(ids), pa.array([own.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
 
     src = id_and_text(docs, id_col, text_col)
     return src.mapInArrow(run, f"doc_id {src.schema[0].dataType.simpleString()}, ids array<int>, decoded binary")
