@@ -125,8 +125,8 @@ def viewer_search(nodes: DataFrame, text: str, labels: tuple[str, ...] | None =
     return found.orderBy("id").limit(limit)
 
 
-def viewer_links(links: DataFrame, node_id: str, most: int = 30) -> DataFrame:
-    """direction, other, type of a node's first links of each side, by type and the other end."""
-    out = links.filter(F.col("source") == node_id).select(F.lit("out").alias("direction"), F.col("target").alias("other"), "type").orderBy("type", "other").limit(most)
-    into = links.filter(F.col("target") == node_id).select(F.lit("in").alias("direction"), F.col("source").alias("other"), "type").orderBy("type", "other").limit(most)
+def viewer_links(links: DataFrame, node_id: str | None, most: int = 30) -> DataFrame:
+    """direction, other, type of a node's first links of each side, by type and the other end; no node has none."""
+    out = links.filter(F.col("source") == F.lit(node_id)).select(F.lit("out").alias("direction"), F.col("target").alias("other"), "type").orderBy("type", "other").limit(most)
+    into = links.filter(F.col("target") == F.lit(node_id)).select(F.lit("in").alias("direction"), F.col("source").alias("other"), "type").orderBy("type", "other").limit(most)
     return out.unionByName(into)
