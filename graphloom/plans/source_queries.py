@@ -217,12 +217,17 @@ rs/f§.rs::User§::3 | Repo§ | Implements
 """
 
 
+#: So many files are parsed in a task (some seconds); a table of parts, a few bytes a row, would be one task by its size.
+FILES_OF_A_TASK = 4000
+
+
 def sources(v: Views, texts: dict[str, str] = TEXTS) -> DataFrame:
-    """relative_path, content, one of each text for each part."""
+    """relative_path, content, one of each text for each part. The parts are dealt out by the count of files, before they become texts."""
     key = F.col("p_partkey").cast("string")
     told = lambda c: F.replace(F.replace(c, F.lit("§7"), (F.col("p_partkey") % 7).cast("string")), F.lit("§"), key)
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in texts.items()])).alias("t")
-    rows = v.part.select("p_partkey", each)
+    tasks = -(-v.part.count() * len(texts) // FILES_OF_A_TASK)
+    rows = v.part.select("p_partkey").repartition(max(1, tasks)).select("p_partkey", each)
     return rows.select(told(F.col("t.path")).alias("relative_path"), told(F.col("t.text")).cast("binary").alias("content"))
 
 
