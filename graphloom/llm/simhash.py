@@ -404,23 +404,19 @@ def similar_components(fps: DataFrame, radius: int = WIDE_RADIUS, similarity: fl
     """The same for wide fingerprints whose sets of shingles are similar. fps: doc_id, fp, keys, shingles.
 
     First without the sets: what fingerprints in the bands' shards link. Then each component of this
-    is a shard, with the sets, and only similar texts are linked; one that is too large is dealt out by its bands. Comparing sets costs
-    more than comparing fingerprints, so these shards are an eighth as large.
+    is a shard, with the sets, and only similar texts are linked. All pairs of a component are candidates, whatever its
+    size: one that is too large is cut into pairs of blocks (links()). Comparing sets costs more than comparing
+    fingerprints, so these shards are an eighth as large.
     """
-    some = max(2, shard_rows // 8)
     nodes = _nodes(fps, F.min("keys").alias("keys"))
     coarse = stars(links(by_bands(nodes), radius, shard_rows))
     member = coarse.select(F.col("v.fp").alias("fp"), F.xxhash64("root.fp").alias("home")).unionByName(coarse.select(F.col("root.fp").alias("fp"), F.xxhash64("root.fp").alias("home")).distinct())
-    own = staged(nodes.select("node", "keys", F.col("node.fp").alias("fp")).join(member, "fp"), "members")
+    own = staged(nodes.select("node", F.col("node.fp").alias("fp")).join(member, "fp"), "members")
     same = (fps["fp"] == own["fp"]) & fps["doc_id"].eqNullSafe(own["node.id"])
     sets = fps.join(own, same).groupBy(own["fp"].alias("fp")).agg(F.min(fps["shingles"]).alias("shingles"))
-    laid = staged(own.join(sets, "fp").select("node", "keys", "home", "shingles"), "members-shingles")
+    laid = staged(own.join(sets, "fp").select("node", "home", "shingles"), "members-shingles")
     dealt = laid.select("node", F.lit(-1).alias("choice"), F.col("home").alias("bits"), "shingles")
-    large = large_shards(dealt, some)
-    if not large.isEmpty():
-        hot = laid.join(large.select(F.col("bits").alias("home")), "home", "left_semi").select("node", F.posexplode("keys").alias("choice", "bits"), "shingles")
-        dealt = dealt.join(large.select("bits"), "bits", "left_anti").select("node", "choice", "bits", "shingles").unionByName(hot)
-    return _settled(nodes, stars(links(dealt, radius, some, similarity)))
+    return _settled(nodes, stars(links(dealt, radius, max(2, shard_rows // 8), similarity)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -451,8 +447,8 @@ def deduplicated(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = 0
     """The documents with one row of each component: that with the smallest doc_id (any one of rows that repeat it with its fingerprint).
 
     Two texts are linked if the similarity (Jaccard) of their sets of five-word shingles is 0.8 or more. Candidates are those whose
-    fingerprints of 256 bits over the shingles differ in at most 46 bits (0.8 makes 39 on average, with a deviation of 6), in the shard of
-    some band, where texts of 0.8 meet with probability 0.99, those of 0.9 but for one in 10,000. Texts
+    fingerprints of 256 bits over the shingles differ in at most 46 bits (0.8 makes 39 on average, with a deviation of 6), in what the shards of
+    the bands connect, where texts of 0.8 meet with probability 0.99, those of 0.9 but for one in 10,000. Texts
     with one and the same fingerprint are linked in any case.
 
     Rows are told apart by id and fingerprint, since ids may be null or repeat under texts of other components.
