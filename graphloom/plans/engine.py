@@ -59,7 +59,7 @@ def link(nodes: DataFrame, files: DataFrame, facts: dict[str, DataFrame | None],
         parts.append(resolve.import_edges(last))
     if facts["calls"] is not None:
         calls = facts["calls"].select(F.concat_ws("#", "relative_path", F.lpad(F.col("ordinal").cast("string"), 9, "0")).alias("call_id"), "caller_id", "callee_name", "receiver", F.col("relative_path").alias("from_file"))
-        parts.append(resolve.call_edges(resolve.resolve_calls(calls, symbols, bindings, imported, heritage)))
+        parts.append(resolve.call_edges(calls, symbols, bindings, imported, heritage))
     if facts["heritage"] is not None:
         parts.append(resolve.heritage_edges(resolve.resolve_heritage(heritage, symbols, bindings, imported)))
     edges = reduce(DataFrame.unionByName, parts)
